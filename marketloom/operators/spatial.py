@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marketloom.config import Walk
 from marketloom.functions.numbers import to_metres, walk_minutes
+from marketloom.sources.scratch import stored
 
 
 def with_metres(df: DataFrame, latitude: str = "latitude", longitude: str = "longitude") -> DataFrame:
@@ -41,12 +44,13 @@ def nearest(left: DataFrame, right: DataFrame, left_id: str, right_id: str, radi
     all others that ``most_rounds`` do not reach them are left out.
     """
     key = [left_id, *([by] if by else [])]
-    found, open_ = None, left
+    found, open_ = None, left.where("x_m is not null and y_m is not null").select(*key, "x_m", "y_m")
     for _ in range(most_rounds):
         best = within(open_, right, radius, left_id, right_id, by).groupBy(*key).agg(F.min(F.struct("metres", right_id)).alias("best"))
-        got = best.select(*key, F.col(f"best.{right_id}").alias(right_id), "best.metres").persist()
+        got = best.select(*key, F.col(f"best.{right_id}").alias(right_id), "best.metres")
+        got = stored(got)
         found = got if found is None else found.unionByName(got)
-        open_ = open_.join(got.select(*key), key, "left_anti").persist()
+        open_ = stored(open_.join(got.select(*key), key, "left_anti"))
         if open_.isEmpty():
             break
         radius *= 2
@@ -93,9 +97,6 @@ def block_features(blocks: DataFrame, places: DataFrame, block_id: str, place_id
 
 def simplify_lines(lines: DataFrame, tolerance: float, points: str = "points", closed: bool = False) -> DataFrame:
     """Douglas-Peucker on every row's array of [x, y]; closed rings are cut at the vertex farthest from the first."""
-    import numpy as np
-    import pandas as pd
-
     def keep(xy, tol):
         mark, stack = np.zeros(len(xy), bool), [(0, len(xy) - 1)]
         mark[[0, -1]] = True
