@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marketloom.llm.stored import stored
-from marketloom.llm.text import WordHashes, shingles, words
+from marketloom.llm.text import WordHashes, shingles, small_batches, words
 
 #: A Bloom filter of this fixed size lets only possible seeds of the documents into the shuffle (2 MB).
 FILTER_BITS = 24
@@ -74,6 +74,7 @@ def find_leaks(
     places; the best of them counts. Coverage of exactly ``coverage`` leaks.
     """
     spark = documents.sparkSession
+    small_batches(spark)
 
     def of_items(batches):
         table = WordHashes()

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marketloom.llm.crf import Crf, train
+from marketloom.llm.text import small_batches
 
 BLOCK = frozenset("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section select summary table tbody td textarea tfoot th thead title tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -267,6 +268,7 @@ def extract(pages: DataFrame, *, html_col: str = "html", text_col: str = "text",
     Null and empty pages, and pages without main text, get an empty text. Pages are independent rows, so repeated rows
     get the same text; a column that is already called ``text_col`` is replaced.
     """
+    small_batches(pages.sparkSession)
     shared = pages.sparkSession.sparkContext.broadcast(model or fit())
 
     @F.pandas_udf("string")

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marketloom.llm.crf import Crf, train
+from marketloom.llm.text import small_batches
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -309,6 +310,7 @@ def find_secrets(documents: DataFrame, *, text_col: str = "text", model: Crf, ou
 
     A null text counts as empty and has no secrets. Rows are independent; an existing column ``out_col`` is replaced.
     """
+    small_batches(documents.sparkSession)
     shared = documents.sparkSession.sparkContext.broadcast(model)
     kind = "array<struct<kind: string, start: long, end: long>>"
 

@@ -6,6 +6,7 @@ import re
 
 import numpy as np
 import xxhash
+from pyspark.sql import SparkSession
 
 WORD = re.compile(r"[^\W_]+")
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -20,7 +21,7 @@ def words(text: str | None) -> list[str]:
 class WordHashes(dict):
     """word -> 64-bit hash, remembered up to a fixed number of words."""
 
-    def __init__(self, limit: int = 300_000):
+    def __init__(self, limit: int = 100_000):
         super().__init__()
         self.limit = limit
 
@@ -51,3 +52,10 @@ def shingles(hashes: np.ndarray, k: int) -> np.ndarray:
     for j in range(k):
         out = out * STEP + hashes[j : n - k + 1 + j]
     return mixed(out)
+
+
+def small_batches(spark: SparkSession, rows: int = 500) -> None:
+    """Send at most so many texts at once to a Python worker, so that its memory does not depend on Spark's default of 10,000."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, str(rows))

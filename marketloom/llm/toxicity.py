@@ -18,6 +18,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from marketloom.llm.text import small_batches
+
 DISCOUNT = 0.75
 ORDER = 5
 #: Probability of a letter of which nothing at all is known.
@@ -229,6 +231,7 @@ def fit(
     hashed id); taking as many of either class keeps the two models matched. Rows without id, text or label are no
     training rows. Without rows of both classes the model scores every text 0.
     """
+    small_batches(documents.sparkSession)
     fold = F.crc32(F.col("id").cast("string").cast("binary")) % 3
     labelled = labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("label")).where("id is not null and label in (0, 1)").where(fold != 1).dropDuplicates(["id"])
     picked = None
@@ -272,6 +275,7 @@ def fit(
 
 def score(model: ToxicityModel, documents: DataFrame, text: Column) -> Column:
     """Column with the score of each text, from 0 to 1; a null or empty text has no evidence and gets the curve's value there."""
+    small_batches(documents.sparkSession)
     shared = documents.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
