@@ -60,7 +60,7 @@ def _r(*names: str, n: int = 4) -> str:
 
 @query(f"""SELECT month, town, flat_type, transactions, {_r('median_price', 'mean_price', 'p25_price', 'p75_price', 'median_psm', 'median_area', 'pooled_median')}, pooled_count,
  round_even((median_price / lag(median_price) OVER w - 1) * 100, 4) AS mom_pct, round_even((median_price / lag(median_price, 12) OVER w - 1) * 100, 4) AS yoy_pct, round_even((pooled_median / lag(pooled_median, 12) OVER w - 1) * 100, 4) AS yoy_3m_pct,
- round(CASE WHEN count(median_price) OVER w3 >= 2 THEN avg(median_price) OVER w3 END, 4) AS rolling_avg_3m, round(CASE WHEN count(median_price) OVER w6 >= 3 THEN avg(median_price) OVER w6 END, 4) AS rolling_avg_6m FROM monthly0
+ floor(CASE WHEN count(median_price) OVER w3 >= 2 THEN avg(median_price) OVER w3 END * 1e4 + 0.50001) / 1e4 AS rolling_avg_3m, floor(CASE WHEN count(median_price) OVER w6 >= 3 THEN avg(median_price) OVER w6 END * 1e4 + 0.50001) / 1e4 AS rolling_avg_6m FROM monthly0
  WINDOW w AS (PARTITION BY town, flat_type ORDER BY month), w3 AS (PARTITION BY town, flat_type ORDER BY month ROWS 2 PRECEDING), w6 AS (PARTITION BY town, flat_type ORDER BY month ROWS 5 PRECEDING)""", (SALES, MONTHLY))
 def market_monthly(spark: SparkSession, d: str) -> DataFrame:
     return rounded(monthly(spark, d))
