@@ -2,6 +2,7 @@ import itertools
 import re
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -202,6 +203,54 @@ def test_lm_scoring(spark):
     held = [i for i in range(120, 200)]
     assert np.mean([(got[i]["difference"] > np.median([got[j]["difference"] for j in held])) == (i % 2 == 1) for i in held]) > 0.95
     assert got[500]["n_tokens"] == 0 and got[500]["difference"] == 0 and got[501]["target_loss"] is None
+    assert lm_scoring.score(docs.limit(0), target=F.col("good")).count() == 0
+
+
+def plain_losses(rows, n_contexts):
+    """Losses of (text, target) rows by dictionaries of counts."""
+    texts = [words(t) for t, _ in rows]
+    seen = Counter(w for t, (_, good) in zip(texts, rows) if good for w in t)
+    h = WordHashes()
+    contexts = set(sorted(seen, key=lambda w: (-seen[w], h.of([w]).view(np.int64)[0]))[:n_contexts])
+    alone, pairs, behind = [Counter(), Counter()], [Counter(), Counter()], [Counter(), Counter()]
+
+    def add(t, k, by):
+        for i, w in enumerate(t):
+            alone[k][w] += by
+            if i and t[i - 1] in contexts:
+                pairs[k][t[i - 1], w] += by
+                behind[k][t[i - 1]] += by
+
+    for t, (_, good) in zip(texts, rows):
+        add(t, int(good), 1)
+    vocabulary = len({w for t in texts for w in t}) + 1
+    matched = alone[1].total() / alone[0].total()
+    for t, (_, good) in zip(texts, rows):
+        add(t, int(good), -1)
+        loss = []
+        for k, scale in ((0, matched), (1, 1.0)):
+            total = 0.0
+            for i, w in enumerate(t):
+                p = (scale * alone[k][w] + lm_scoring.ADDED) / (scale * alone[k].total() + lm_scoring.ADDED * vocabulary)
+                if i and t[i - 1] in contexts:
+                    p = (scale * pairs[k][t[i - 1], w] + lm_scoring.PRIOR * p) / (scale * behind[k][t[i - 1]] + lm_scoring.PRIOR)
+                total -= np.log(p)
+            loss.append(total / len(t))
+        add(t, int(good), 1)
+        yield loss
+
+
+@pytest.mark.parametrize("block_bytes", [500, 8_000_000])
+def test_lm_scoring_equals_plain_counts(spark, monkeypatch, block_bytes):
+    monkeypatch.setattr(lm_scoring, "BLOCK_BYTES", block_bytes)
+    r = random.Random(12)
+    rows = [(sentence(r, r.randint(1, 50)), i % 3 == 0) for i in range(60)]
+    rows += [rows[0]] * 5
+    docs = frame(spark, [(i, *x, "x", None) for i, x in enumerate(rows)], "doc_id long, text string, good boolean, block string, difference string").repartition(3)
+    got = {x["doc_id"]: x for x in lm_scoring.score(docs, target=F.col("good"), contexts=20).collect()}
+    assert len(got) == len(rows) and got[0]["block"] == "x"
+    for i, (b, t) in enumerate(plain_losses(rows, 20)):
+        assert (got[i]["background_loss"], got[i]["target_loss"]) == pytest.approx((b, t), rel=1e-9)
 
 
 def test_toxicity_held_out(spark):
