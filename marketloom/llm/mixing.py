@@ -84,16 +84,17 @@ def find_exponent(sources: DataFrame, *, budget: float, entropy: float | None, r
     return Mix(exponent, e, m, int(total["t"]))
 
 
-def plan(rows: DataFrame, mix: Mix, *, budget: float, block_tokens: int, seed: int) -> DataFrame:
+def plan(rows: DataFrame, per_source: DataFrame, mix: Mix, *, budget: float, block_tokens: int, seed: int, most_broadcast: int) -> DataFrame:
     """(source, block, epoch, weight, place, left): what each epoch takes of each block of a source.
 
     place: the block's position in the epoch's order; left: null if the whole block is taken, else the tokens that
-    the budget leaves for it. A source has at most 4096 blocks, whose size follows the source's.
+    the budget leaves for it. A source has at most 4096 blocks, whose size follows the source's. ``per_source`` has the
+    tokens of each source; up to ``most_broadcast`` of them meet the documents by broadcast, without a shuffle by source.
     """
-    per_source = source_tokens(rows)
     total = per_source.agg(F.sum(F.pow(F.col("tokens") / F.lit(float(mix.tokens or 1)), F.lit(mix.exponent))).alias("z")).first()["z"] or 1.0
     weight = F.pow(F.col("tokens") / F.lit(float(mix.tokens or 1)), F.lit(mix.exponent)) / F.lit(total)
     sources = per_source.select("source", "tokens", weight.alias("weight"), n_blocks(F.col("tokens"), block_tokens).alias("blocks")).withColumn("quota", F.col("weight") * F.lit(float(budget)))
+    sources = F.broadcast(sources) if per_source.count() <= most_broadcast else sources
     blocks = rows.join(sources, "source").groupBy("source", "tokens", "weight", "quota", block_of(F.col("id"), F.col("blocks"), seed).alias("block")).agg(F.sum("n_tokens").alias("size"))
     epochs = F.ceil(F.col("quota") / F.col("tokens") - 1e-9).cast("int")
     each = blocks.withColumn("epochs", epochs).where("epochs > 0").withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("epochs") - 1)))
@@ -130,10 +131,11 @@ def mix_sources(
     rows = stored(slim(documents, id_col, text_col, source_col))
     total = rows.agg(F.sum("n_tokens")).first()[0] or 0
     budget = total if budget is None else budget
-    mix = find_exponent(stored(source_tokens(rows)), budget=budget, entropy=entropy, repetition=repetition)
-    taken = stored(plan(rows, mix, budget=budget, block_tokens=block_tokens, seed=seed))
+    per_source = stored(source_tokens(rows))
+    mix = find_exponent(per_source, budget=budget, entropy=entropy, repetition=repetition)
+    taken = stored(plan(rows, per_source, mix, budget=budget, block_tokens=block_tokens, seed=seed, most_broadcast=most_broadcast))
     small = taken.count() <= most_broadcast
-    sized = source_tokens(rows).select("source", n_blocks(F.col("tokens"), block_tokens).alias("blocks"))
+    sized = per_source.select("source", n_blocks(F.col("tokens"), block_tokens).alias("blocks"))
     hint = (lambda x: F.broadcast(x)) if small else (lambda x: x)
 
     # the one block of a source and epoch that is taken in part: its documents in hashed order, as far as the tokens go
