@@ -2,11 +2,12 @@
 
 Both models share one vocabulary (every word of the corpus), the same order and the same smoothing, and the background's
 counts are scaled to the target's total, so that they differ in nothing but what they have seen. Words are counted alone
-and behind each of the target's most frequent words (the contexts); behind any other word they are drawn alone.
+and behind every word that precedes them.
 
-The count tables grow with the corpus and never leave Spark. Documents are dealt into blocks of a few megabytes; a block
-is joined to the counts of its own different words and pairs only, and scored from them. A document's own counts are
-taken out of the model that it belongs to before it is scored, else every document would look like its own side.
+The count tables grow with the corpus and never leave Spark. Documents are dealt into blocks of a few megabytes. A block
+counts its own different words and pairs and sends them, cut by ranges of their hashes, to be added up; what comes back
+are the whole corpus's counts of just these words and pairs, in the same order. A document's own counts are taken out of
+the model that it belongs to before it is scored, else every document would look like its own side.
 """
 
 from __future__ import annotations
@@ -24,13 +25,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from marketloom.llm.stored import shared_folder
-from marketloom.llm.text import small_batches, words
+from marketloom.llm.text import STEP, mixed, small_batches, words
 
-CONTEXTS = 127
 ADDED = 0.1
 #: Weight of the word alone, in tokens, beside what was counted behind a context.
 PRIOR = 200.0
-BLOCK_BYTES = 32_000_000
+BLOCK_BYTES = 16_000_000
+#: Ranges of hashes that are added up apart: so many, or twice the blocks if these are more.
+PARTS = 1024
 LOSSES = (("n_tokens", T.LongType()), ("target_loss", T.DoubleType()), ("background_loss", T.DoubleType()), ("difference", T.DoubleType()))
 
 
@@ -46,30 +48,7 @@ class Words(dict):
         return np.fromiter(map(self.__getitem__, found), np.int32, len(found))
 
     def hashes(self) -> np.ndarray:
-        return np.fromiter(map(xxhash.xxh3_64_intdigest, self), np.uint64, len(self)).view(np.int64)
-
-
-def _as_contexts(hashes: np.ndarray, known: np.ndarray) -> np.ndarray:
-    """For every word's hash the index of the context that the word is, or -1."""
-    if not len(known):
-        return np.full(len(hashes), -1)
-    at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
-    return np.where(known[at] == hashes, at, -1)
-
-
-def _before(ids: np.ndarray, as_context: np.ndarray) -> np.ndarray:
-    """For every word of a text the context before it, or -1."""
-    out = np.full(len(ids), -1)
-    out[1:] = as_context[ids[:-1]]
-    return out
-
-
-def _own(keys: np.ndarray, empty: np.ndarray) -> np.ndarray:
-    """How often each key occurs among the keys; empty: an array of zeros with a place for every key, left as it was."""
-    np.add.at(empty, keys, 1)
-    times = empty[keys]
-    empty[keys] = 0
-    return times
+        return np.fromiter(map(xxhash.xxh3_64_intdigest, self), np.uint64, len(self))
 
 
 def _deal(documents: DataFrame, target: Column, text_col: str, path: str) -> DataFrame:
@@ -95,86 +74,148 @@ def _most_frequent(blocks: DataFrame, text: Column, n: int) -> np.ndarray:
         for pdf in batches:
             table = Words()
             times = np.bincount(np.concatenate([np.zeros(0, np.int32), *(table.of(t) for t in pdf["text"])]), minlength=len(table))
-            yield pd.DataFrame({"word": table.hashes(), "n": times})
+            yield pd.DataFrame({"word": table.hashes().view(np.int64), "n": times})
 
     counted = blocks.where("own = 1").select(text.alias("text")).mapInPandas(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
     return np.sort(np.array([r["word"] for r in counted.orderBy(F.desc("n"), "word").limit(n).collect()], np.int64))
 
 
-def _block_counts(blocks: DataFrame, text: Column, known: np.ndarray) -> DataFrame:
-    """(block, word, contexts, n0, n1): a block's background and target counts of a word behind each context; context -1: the word alone."""
-    types = {"block": pa.int64(), "word": pa.int64(), "contexts": pa.list_(pa.int16()), "n0": pa.list_(pa.int32()), "n1": pa.list_(pa.int32())}
-
-    def table_of(block: int, table: Words, ids: list[np.ndarray], owns: list[int]) -> pa.RecordBatch:
-        word = table.hashes()
-        as_context = _as_contexts(word, known)
-        context = np.concatenate([_before(x, as_context) for x in ids])
-        where, own, behind = np.concatenate(ids), np.repeat(np.array(owns, bool), [len(x) for x in ids]), context >= 0
-        # a key for every word alone (which is the smallest of the word's keys) and for every word behind a context
-        width = len(known) + 1
-        pairs, at = np.unique(where[behind].astype(np.int64) * width + context[behind] + 1, return_inverse=True)
-        times = [np.concatenate((np.bincount(where[own == k], minlength=len(word)), np.bincount(at[own[behind] == k], minlength=len(pairs)))) for k in (False, True)]
-        keys = np.concatenate((np.arange(len(word)) * width, pairs))
-        order = np.argsort(keys)
-        keys = keys[order]
-        starts = pa.array(np.append(np.flatnonzero(keys % width == 0), len(keys)).astype(np.int32))
-        lists = [(keys % width - 1).astype(np.int16), *(x[order].astype(np.int32) for x in times)]
-        columns = [pa.array(np.full(len(word), block)), pa.array(word), *(pa.ListArray.from_arrays(starts, pa.array(x)) for x in lists)]
-        return pa.RecordBatch.from_arrays(columns, schema=pa.schema(types))
+class Block:
+    """The words and pairs of a block's texts, each numbered in the order of their hashes.
+
+    word, pair: hashes; at: the word of every token; text: the text that it stands in; before: the word before it and
+    pair: the two together, for the tokens (behind) that are not the first of their text.
+    known: the only words that count as the first of a pair; None: all.
+    """
+
+    def __init__(self, texts: list[str | None], known: np.ndarray | None):
+        table = Words()
+        ids = [table.of(t) for t in texts]
+        self.sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+        self.text = np.repeat(np.arange(len(ids)), self.sizes)
+        self.word, place = np.unique(table.hashes(), return_inverse=True)
+        self.at = place[np.concatenate([np.zeros(0, np.int32), *ids])]
+        self.behind = np.flatnonzero(self.text[1:] == self.text[:-1]) + 1
+        if known is not None:
+            self.behind = self.behind[np.isin(self.word, known)[self.at[self.behind - 1]]]
+        self.before = self.at[self.behind - 1]
+        codes, place = np.unique(self.before * len(self.word) + self.at[self.behind], return_inverse=True)
+        first, second = np.divmod(codes, max(1, len(self.word)))
+        self.pair, number = np.unique(mixed(self.word[first] * STEP + self.word[second]), return_inverse=True)
+        self.of_pair = number[place]
+
+    def counts(self, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """How often (a row each) a word stands in background and target texts, and is followed by another; and the same of pairs."""
+        sides = [own[self.text] == k for k in (0, 1)]
+        n = [np.bincount(self.at[x], minlength=len(self.word)) for x in sides]
+        n += [np.bincount(self.before[x[self.behind]], minlength=len(self.word)) for x in sides]
+        return np.stack(n), np.stack([np.bincount(self.of_pair[x[self.behind]], minlength=len(self.pair)) for x in sides])
+
+    def losses(self, own: np.ndarray, n: np.ndarray, m: np.ndarray, tokens: np.ndarray, vocabulary: int) -> list[np.ndarray]:
+        """Mean loss per token in nats of each text by the background and by the target model; own: the model that has counted it.
+
+        n and m: the corpus's counts, as from counts(); tokens: their sums.
+        """
+        matched = tokens[1] / tokens[0] if tokens.all() else 1.0
+        at, before, pair, behind, out = self.at, self.before, self.of_pair, self.behind, []
+        mine_at, mine_before, mine_pair = _own(self.text, at), _own(self.text[behind], before), _own(self.text[behind], pair)
+        for k in (0, 1):
+            mine, scale = (own == k)[self.text], matched if k == 0 else 1.0
+            p = (scale * (n[k][at] - mine_at * mine) + ADDED) / (scale * (tokens[k] - self.sizes[self.text] * mine) + ADDED * vocabulary)
+            mine = mine[behind]
+            p[behind] = (scale * (m[k][pair] - mine_pair * mine) + PRIOR * p[behind]) / (scale * (n[k + 2][before] - mine_before * mine) + PRIOR)
+            out.append(np.bincount(self.text, weights=-np.log(p), minlength=len(self.sizes)) / np.maximum(1, self.sizes))
+        return out
+
+    def cuts(self, parts: int) -> tuple[np.ndarray, np.ndarray]:
+        """Where each of the hash ranges starts among the words and among the pairs."""
+        return tuple(np.searchsorted((x >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32), np.arange(parts + 1, dtype=np.uint64)) for x in (self.word, self.pair))
+
+
+def _own(texts: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """How often each token's key occurs in the token's text."""
+    _, at, n = np.unique(texts * (int(keys.max(initial=0)) + 1) + keys, return_inverse=True, return_counts=True)
+    return n[at]
+
+
+def _packed(x: np.ndarray) -> bytes:
+    """Numbers of 8 bytes, all first bytes before all second ones."""
+    return pa.compress(np.ascontiguousarray(x).view(np.uint8).reshape(-1, 8).T.tobytes(), codec="zstd", asbytes=True)
+
+
+def _unpacked(packed: bytes, size: int, dtype=np.int64) -> np.ndarray:
+    planes = np.frombuffer(pa.decompress(packed, decompressed_size=8 * size, codec="zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(planes.reshape(8, -1).T).view(dtype).reshape(-1)
+
+
+def _steps(hashes: np.ndarray) -> np.ndarray:
+    return np.diff(hashes, prepend=np.uint64(0))
+
+
+def _block_counts(blocks: DataFrame, text: Column, known: np.ndarray | None, parts: int) -> DataFrame:
+    """(block, part, words, pairs, keys, counts): a block's different words and pairs with hashes in a range, and their counts.
+
+    A block that is read in two pieces has two rows a range.
+    """
+    types = {"block": pa.int64(), "part": pa.int64(), "words": pa.int64(), "pairs": pa.int64(), "keys": pa.binary(), "counts": pa.binary()}
+
+    def rows_of(number: int, texts: list[str | None], owns: list[int]) -> pa.RecordBatch:
+        block = Block(texts, known)
+        n, m = block.counts(np.array(owns))
+        a, b = block.cuts(parts)
+        out = []
+        for i in np.flatnonzero((np.diff(a) > 0) | (np.diff(b) > 0)):
+            w, p = slice(a[i], a[i + 1]), slice(b[i], b[i + 1])
+            out.append((number, i, a[i + 1] - a[i], b[i + 1] - b[i], _packed(np.concatenate((_steps(block.word[w]), _steps(block.pair[p])))), _packed(np.concatenate((n[:, w].ravel(), m[:, p].ravel())))))
+        return pa.RecordBatch.from_arrays([pa.array([x[j] for x in out], t) for j, t in enumerate(types.values())], schema=pa.schema(types))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, table, ids, owns = None, Words(), [], []
+        at, texts, owns = None, [], []
         for batch in batches:
             for block, own, text_ in zip(*(batch.column(c).to_pylist() for c in ("block", "own", "text"))):
                 if block != at:
-                    if ids:
-                        yield table_of(at, table, ids, owns)
-                    at, table, ids, owns = block, Words(), [], []
-                if len(x := table.of(text_)):
-                    ids.append(x)
-                    owns.append(own)
-        if ids:
-            yield table_of(at, table, ids, owns)
-
-    return blocks.select("block", "own", text.alias("text")).mapInArrow(count, "block long, word long, contexts array<short>, n0 array<int>, n1 array<int>")
-
-
-def _add_up(parts: DataFrame) -> DataFrame:
-    """(word, contexts, n0, n1) over all blocks. Parts are dealt by word once, in their compact form."""
-    each = parts.select("word", "contexts", "n0", "n1").repartition("word").select("word", F.explode(F.arrays_zip("contexts", "n0", "n1")).alias("p"))
-    each = each.groupBy("word", F.col("p.contexts").alias("context")).agg(F.sum("p.n0").alias("n0"), F.sum("p.n1").alias("n1"))
-    lists = each.groupBy("word").agg(F.collect_list(F.struct("context", "n0", "n1")).alias("p"))
-    return lists.select("word", F.col("p.context").alias("contexts"), F.col("p.n0").alias("n0"), F.col("p.n1").alias("n1"))
-
-
-def _losses(at: np.ndarray, context: np.ndarray, own: int, n: np.ndarray, pair: np.ndarray, m: np.ndarray, behind: np.ndarray, tokens: np.ndarray, vocabulary: int, empty: list[np.ndarray]) -> list[float]:
-    """Mean loss per token in nats by the background and by the target model.
-
-    at and context: the text's words as places in n, and the contexts before them; own: the model that has counted it.
-    n and m: the counts of the block's words and pairs (of sorted keys pair) in both models; behind: the tokens counted
-    behind each context; empty: zeros for every word, pair and context.
-    """
-    matched = tokens[1] / tokens[0] if tokens.all() else 1.0
-    has = np.flatnonzero(context >= 0)
-    of_word, of_pair, of_context = empty
-    key = at[has].astype(np.int64) * (behind.shape[1] + 1) + context[has]
-    pair_at, out = np.searchsorted(pair, key), []
-    for k in (0, 1):
-        mine = k == own
-        scale = matched if k == 0 else 1.0
-        alone = (scale * (n[k][at] - (_own(at, of_word) if mine else 0)) + ADDED) / (scale * (tokens[k] - len(at) * mine) + ADDED * vocabulary)
-        total = scale * (behind[k][context[has]] - (_own(context[has], of_context) if mine else 0))
-        alone[has] = (scale * (m[k][pair_at] - (_own(pair_at, of_pair) if mine else 0)) + PRIOR * alone[has]) / (total + PRIOR)
-        out.append(float(-np.log(alone).mean()))
-    return out
-
-
-def score(documents: DataFrame, *, text_col: str = "text", target: Column, contexts: int = CONTEXTS) -> DataFrame:
+                    if texts:
+                        yield rows_of(at, texts, owns)
+                    at, texts, owns = block, [], []
+                texts.append(text_)
+                owns.append(own)
+        if texts:
+            yield rows_of(at, texts, owns)
+
+    return blocks.select("block", "own", text.alias("text")).mapInArrow(count, "block long, part long, words long, pairs long, keys binary, counts binary")
+
+
+def _add_up(rows: pa.Table) -> pa.Table:
+    """(block, part, words, pairs, counts, vocabulary, n0, n1): for each block the sums over all blocks, by hash; the last three once a range."""
+    rows = rows.to_pylist()
+    keys = [_unpacked(r["keys"], r["words"] + r["pairs"], np.uint64) for r in rows]
+    counts = [_unpacked(r["counts"], 4 * r["words"] + 2 * r["pairs"]) for r in rows]
+    found: dict[int, list] = {}
+    whole = []
+    for of_pairs in (False, True):
+        hashes = [np.cumsum(k[r["words"] :] if of_pairs else k[: r["words"]], dtype=np.uint64) for k, r in zip(keys, rows)]
+        each = [(c[4 * r["words"] :].reshape(2, -1) if of_pairs else c[: 4 * r["words"]].reshape(4, -1)) for c, r in zip(counts, rows)]
+        different, at = np.unique(np.concatenate(hashes), return_inverse=True)
+        sums = np.stack([np.bincount(at, weights=x, minlength=len(different)).astype(np.int64) for x in np.concatenate(each, axis=1)])
+        whole.append((different, sums))
+        for r, places in zip(rows, np.split(at, np.cumsum([len(h) for h in hashes])[:-1])):
+            pieces = found.setdefault(r["block"], [[], []])
+            pieces[of_pairs].append(places)
+    out, (different, sums) = [], whole[0]
+    once = (len(different), int(sums[0].sum()), int(sums[1].sum()))
+    for block, pieces in found.items():
+        w, p = (x[0] if len(x) == 1 else np.unique(np.concatenate(x)) for x in pieces)
+        out.append((block, rows[0]["part"], len(w), len(p), _packed(np.concatenate((whole[0][1][:, w].ravel(), whole[1][1][:, p].ravel()))), *(once if not out else (0, 0, 0))))
+    return pa.Table.from_arrays([pa.array([x[j] for x in out], pa.binary() if j == 4 else pa.int64()) for j in range(8)], names=["block", "part", "words", "pairs", "counts", "vocabulary", "n0", "n1"])
+
+
+def score(documents: DataFrame, *, text_col: str = "text", target: Column, contexts: int | None = None) -> DataFrame:
     """Add ``n_tokens``, ``target_loss``, ``background_loss`` and ``difference`` (background minus target; above 0: like the target).
 
     ``target`` says which rows train the target model (null: background). Columns of the added names are replaced. A text
     without words (null, empty) has 0 tokens, null losses and difference 0. Repeated rows are counted and scored each.
-    If no row, or every row, is a target, one model is empty and falls back to equal chances.
+    If no row, or every row, is a target, one model is empty and falls back to equal chances. Words are counted behind
+    every word; ``contexts``: only behind so many of the target's most frequent ones, behind others they are drawn alone.
     The blocks and the counts are written to the shared folder before the result is returned.
     """
     spark = documents.sparkSession
@@ -182,48 +223,28 @@ def score(documents: DataFrame, *, text_col: str = "text", target: Column, conte
     folder = f"{shared_folder(spark)}/lm-{uuid.uuid4().hex}"
     blocks = _deal(documents, target, text_col, f"{folder}/blocks")
     text = F.col("row")[text_col]
-    known = _most_frequent(blocks, text, contexts)
-    _block_counts(blocks, text, known).write.option("compression", "zstd").parquet(f"{folder}/parts")
-    parts = spark.read.parquet(f"{folder}/parts")
-    _add_up(parts).write.option("compression", "zstd").parquet(f"{folder}/counts")
+    known = None if contexts is None else _most_frequent(blocks, text, contexts).view(np.uint64)
+    parts = max(PARTS, 2 * blocks.select("block").distinct().count())
+    summed = _block_counts(blocks, text, known, parts).groupBy("part").applyInArrow(_add_up, "block long, part long, words long, pairs long, counts binary, vocabulary long, n0 long, n1 long")
+    summed.write.parquet(f"{folder}/counts")
     counts = spark.read.parquet(f"{folder}/counts")
-    behind, tokens, vocabulary = np.zeros((2, len(known))), np.zeros(2), 1
-    totals = counts.select(F.explode(F.arrays_zip("contexts", "n0", "n1")).alias("p")).groupBy("p.contexts").agg(F.sum("p.n0").alias("n0"), F.sum("p.n1").alias("n1"), F.count("*").alias("n"))
-    for r in totals.collect():  # a row a context
-        if r["contexts"] < 0:
-            tokens, vocabulary = np.array([r["n0"], r["n1"]], float), r["n"] + 1
-        else:
-            behind[:, r["contexts"]] = r["n0"], r["n1"]
+    totals = counts.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("vocabulary", "n0", "n1"))).first()
+    tokens, vocabulary = np.array([totals["n0"], totals["n1"]], float), totals["vocabulary"] + 1
 
     kept = [c for c in documents.columns if c not in dict(LOSSES)]
     schema = T.StructType([T.StructField("row", blocks.schema["row"].dataType), *(T.StructField(c, t) for c, t in LOSSES)])
 
     def score_block(rows: pa.Table, model: pa.Table) -> pa.Table:
-        lists = [model.column(c).combine_chunks() for c in ("contexts", "n0", "n1")]
-        context, *both = (x.flatten().to_numpy() for x in lists)
-        both, hashes = np.stack(both), np.repeat(model.column("word").to_numpy(), lists[0].value_lengths().to_numpy())
-        alone = np.flatnonzero(context < 0)
-        alone = alone[np.argsort(hashes[alone])]
-        word = hashes[alone]
-        pairs = np.flatnonzero(context >= 0)
-        pair = np.searchsorted(word, hashes[pairs]) * (len(known) + 1) + context[pairs]
-        order = np.argsort(pair)
-        n, m, pair = both[:, alone], both[:, pairs[order]], pair[order]
-        empty = [np.zeros(x, np.int64) for x in (len(word), len(pair), len(known))]
-        table, out = Words(), []
-        texts = [table.of(t) for t in rows.column("row").combine_chunks().field(text_col).to_pylist()]
-        hashes = table.hashes()
-        places, as_context = np.searchsorted(word, hashes), _as_contexts(hashes, known)
-        for own, ids in zip(rows.column("own").to_pylist(), texts):
-            b, t = _losses(places[ids], _before(ids, as_context), own, n, pair, m, behind, tokens, vocabulary, empty) if len(ids) else (None, None)
-            out.append((len(ids), t, b, 0.0 if b is None else b - t))
-        found = [pa.array([x[j] for x in out], pa.int64() if j == 0 else pa.float64()) for j in range(4)]
+        block = Block([t for chunk in rows.column("row").chunks for t in chunk.field(text_col).to_pylist()], known)
+        n, m = np.zeros((4, len(block.word)), np.int64), np.zeros((2, len(block.pair)), np.int64)
+        a, b = block.cuts(parts)
+        for part, n_words, n_pairs, packed in zip(*(model.column(c).to_pylist() for c in ("part", "words", "pairs", "counts"))):
+            got = _unpacked(packed, 4 * n_words + 2 * n_pairs)
+            n[:, a[part] : a[part + 1]], m[:, b[part] : b[part + 1]] = got[: 4 * n_words].reshape(4, -1), got[4 * n_words :].reshape(2, -1)
+        background, target_ = block.losses(rows.column("own").to_numpy(), n, m, tokens, vocabulary)
+        none = block.sizes == 0
+        found = [pa.array(block.sizes), pa.array(target_, mask=none), pa.array(background, mask=none), pa.array(np.where(none, 0.0, background - target_))]
         return pa.Table.from_arrays([rows.column("row"), *found], names=["row", *dict(LOSSES)])
 
-    def of_block(name: str) -> Column:
-        return F.transform("contexts", lambda c: F.get(F.col(name), (F.array_position("all", c) - 1).cast("int"))).alias(name)
-
-    model = parts.select("block", "word", "contexts").join(counts.withColumnRenamed("contexts", "all"), "word")
-    model = model.select("block", "word", "contexts", of_block("n0"), of_block("n1"))
-    scored = blocks.groupBy("block").cogroup(model.groupBy("block")).applyInArrow(score_block, schema)
+    scored = blocks.groupBy("block").cogroup(counts.select("block", "part", "words", "pairs", "counts").groupBy("block")).applyInArrow(score_block, schema)
     return scored.select(*(F.col("row")[c].alias(c) for c in kept), *dict(LOSSES))

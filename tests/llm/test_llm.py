@@ -253,6 +253,31 @@ def test_lm_scoring_equals_plain_counts(spark, monkeypatch, block_bytes):
         assert (got[i]["background_loss"], got[i]["target_loss"]) == pytest.approx((b, t), rel=1e-9)
 
 
+def test_lm_scoring_counts_behind_every_word(spark, monkeypatch):
+    monkeypatch.setattr(lm_scoring, "BLOCK_BYTES", 2_000)
+    r = random.Random(13)
+    many = [f"w{i}" for i in range(300)]
+    rows = [(" ".join(r.choice(many[i % 3 * 50 :]) for _ in range(r.randint(1, 60))), i % 3 == 0) for i in range(120)]
+    texts = [t.split() for t, _ in rows]
+    alone, pairs, behind = ([Counter(), Counter()] for _ in range(3))
+    for t, (_, good) in zip(texts, rows):
+        alone[good].update(t), pairs[good].update(zip(t, t[1:])), behind[good].update(t[:-1])
+    vocabulary, matched = len({*alone[0], *alone[1]}) + 1, alone[1].total() / alone[0].total()
+    got = {x["doc_id"]: x for x in lm_scoring.score(frame(spark, [(i, *x) for i, x in enumerate(rows)], "doc_id long, text string, good boolean").repartition(3), target=F.col("good")).collect()}
+    for i, (t, (_, good)) in enumerate(zip(texts, rows)):
+        own, loss = (Counter(t), Counter(zip(t, t[1:])), Counter(t[:-1])), []
+        for k, scale in ((0, matched), (1, 1.0)):
+            mine, total = good == k, 0.0
+            for j, w in enumerate(t):
+                p = (scale * (alone[k][w] - own[0][w] * mine) + lm_scoring.ADDED) / (scale * (alone[k].total() - len(t) * mine) + lm_scoring.ADDED * vocabulary)
+                if j:
+                    c = t[j - 1]
+                    p = (scale * (pairs[k][c, w] - own[1][c, w] * mine) + lm_scoring.PRIOR * p) / (scale * (behind[k][c] - own[2][c] * mine) + lm_scoring.PRIOR)
+                total -= np.log(p)
+            loss.append(total / len(t))
+        assert (got[i]["background_loss"], got[i]["target_loss"]) == pytest.approx(loss, rel=1e-9)
+
+
 def test_toxicity_held_out(spark):
     r = random.Random(11)
     fold = lambda i: zlib.crc32(str(i).encode()) % 3
