@@ -20,7 +20,7 @@ from marketloom.llm.text import WordHashes, shingles, small_batches, words
 
 #: An id list up to so many rows (8 bytes each) is sent to every executor; a longer one is shuffled.
 MOST_IDS = 1_000_000
-#: Components of up to so many classes have all their links counted.
+#: Buckets and components of up to so many classes are compared by rows of pairs, larger ones block by block.
 SMALL = 16
 
 
@@ -153,13 +153,46 @@ def block_links(crowd: DataFrame, sets: DataFrame, similarity: float, block: int
     return left.groupBy("most", "x", "y").cogroup(right.groupBy("group", "rx", "ry")).applyInPandas(meet, "a long, b long, similarity double").dropDuplicates(["a", "b"])
 
 
-def find_links(documents: DataFrame, members: DataFrame, id_col: str, text_col: str, *, similarity: float, k: int) -> DataFrame:
-    """Verified links (a, b, similarity) between class representatives. members: (id, n, keys), one row for each class.
+def block_degrees(members: DataFrame, sets: DataFrame, similarity: float, block: int = 256) -> DataFrame:
+    """(id, n_links) within large components: members (class_id, id). Every two blocks of a component meet once in a task,
+    which returns only the number of links of each id, so that the pairs are never rows."""
+    sizes = members.groupBy("class_id").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    rows = members.join(sizes, "class_id").join(sets, "id").withColumn("at", F.pmod(F.xxhash64("id", F.lit(3)), F.col("blocks")).cast("int"))
+    cells = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("at", o).alias("x"), F.greatest("at", o).alias("y"))))
+    dealt = rows.withColumn("cell", cells).select("class_id", "cell.x", "cell.y", "at", "id", "s")
+
+    def meet(pdf: pd.DataFrame) -> pd.DataFrame:
+        x, y, at = int(pdf["x"].iloc[0]), int(pdf["y"].iloc[0]), pdf["at"].to_numpy()
+        ids, each = pdf["id"].to_numpy(), pdf["s"].to_list()
+        l, r = np.flatnonzero(at == x), np.flatnonzero(at == y)
+        degrees = np.zeros(len(ids), np.int64)
+        if len(l) and len(r):
+            sizes_ = np.array([len(each[i]) for i in r])
+            values, owners = np.concatenate([each[i] for i in r]), np.repeat(np.arange(len(r)), sizes_)
+            order = np.argsort(values, kind="stable")
+            values, owners = values[order], owners[order]
+            for i in l:
+                a, b = np.searchsorted(values, each[i], "left"), np.searchsorted(values, each[i], "right")
+                n = b - a
+                hits = np.repeat(a, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                both = np.bincount(owners[hits], minlength=len(r))
+                linked = (both / (len(each[i]) + sizes_ - both) >= similarity) & (ids[r] != ids[i])
+                degrees[i] += linked.sum()
+                if x != y:
+                    degrees[r] += linked
+        return pd.DataFrame({"id": ids, "n_links": degrees})
+
+    found = dealt.groupBy("class_id", "x", "y").applyInPandas(meet, "id long, n_links long")
+    return found.groupBy("id").agg(F.sum("n_links").alias("n_links"))
+
+
+def find_links(documents: DataFrame, members: DataFrame, id_col: str, text_col: str, *, similarity: float, k: int) -> tuple[DataFrame, DataFrame]:
+    """(id, class_id) and (id, n_links) of linked class representatives. members: (id, n, keys), one row for each class.
 
     First every member of a bucket is compared with the bucket's leader, which joins a group of copies with as many
     pairs as it has members. Then the pairs of a bucket that are still in different components are compared, unless
     their sizes or their distances from the leader already tell them apart; so no two documents that share a bucket
-    and are similar stay in different classes. Last, all pairs of a small component are compared, for its links.
+    and are similar stay in different classes. Last, all pairs of each component are compared, for their number of links.
     """
     spark = documents.sparkSession
     rows = stored(members.select("id", "n", F.posexplode("keys").alias("band", "key")))
@@ -192,12 +225,16 @@ def find_links(documents: DataFrame, members: DataFrame, id_col: str, text_col:
         met, links = met.unionByName(more).dropDuplicates(["a", "b"]), stored(links.unionByName(more).dropDuplicates(["a", "b"]))
         classes = components(spark, links)
 
-    grouped = classes.unionByName(classes.select(F.col("class_id").alias("id"), "class_id")).distinct().groupBy("class_id").agg(F.count("*").alias("size"))
+    inside = stored(classes.unionByName(classes.select(F.col("class_id").alias("id"), "class_id")).distinct())
+    grouped = stored(inside.groupBy("class_id").agg(F.count("*").alias("size")))
     few = grouped.where((F.col("size") > 2) & (F.col("size") <= SMALL)).select("class_id")
-    inside = classes.unionByName(classes.select(F.col("class_id").alias("id"), "class_id")).distinct().join(few, "class_id").groupBy("class_id").agg(F.sort_array(F.collect_list("id")).alias("ids"))
+    lists = inside.join(few, "class_id").groupBy("class_id").agg(F.sort_array(F.collect_list("id")).alias("ids"))
     couples = F.flatten(F.transform("ids", lambda a, i: F.transform(F.slice("ids", i + 2, SMALL), lambda b: F.struct(a.alias("a"), b.alias("b")))))
-    left = stored(inside.select(F.explode(couples).alias("p")).select("p.a", "p.b").join(met, ["a", "b"], "left_anti"))
-    return stored(links.unionByName(verified(left, sets).where(F.col("similarity") >= similarity)))
+    left = stored(lists.select(F.explode(couples).alias("p")).select("p.a", "p.b").join(met, ["a", "b"], "left_anti"))
+    large = inside.join(grouped.where(F.col("size") > SMALL).select("class_id"), "class_id")
+    each = links.unionByName(verified(left, sets).where(F.col("similarity") >= similarity)).select(F.explode(F.array("a", "b")).alias("id"))
+    degrees = each.join(large.select("id"), "id", "left_anti").groupBy("id").agg(F.count("*").alias("n_links"))
+    return classes, stored(degrees.unionByName(block_degrees(large, sets, similarity)))
 
 
 def jaccard_join(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, k: int = 5, recall: float = 0.997) -> DataFrame:
@@ -206,8 +243,7 @@ def jaccard_join(documents: DataFrame, *, id_col: str = "doc_id", text_col: str
 
     Texts without words link to nothing and are their own class; a text of fewer than k words is one gram. Rows without
     id can't be named in a link: they come back with null copy_id and class_id, 1 copy and 0 links. Rows that repeat an
-    id count as copies of it if their sets are equal; else the id takes part with its smallest digest. In a component of
-    more than SMALL copy classes the links are those that ``find_links`` needed to join it.
+    id count as copies of it if their sets are equal; else the id takes part with its smallest digest.
     """
     spark = documents.sparkSession
     small_batches(spark)
@@ -217,9 +253,7 @@ def jaccard_join(documents: DataFrame, *, id_col: str = "doc_id", text_col: str
     own = full.groupBy("id").agg(F.min("digest").alias("digest"))
     copies = stored(own.groupBy("digest").agg(F.min("id").alias("copy_id"), F.count("*").alias("copies")))
     members = full.join(copies, (full["id"] == copies["copy_id"]) & (full["digest"] == copies["digest"])).select(full["id"], "n", "keys").dropDuplicates(["id"])
-    links = find_links(documents, members, id_col, text_col, similarity=similarity, k=k)
-    degree = links.select(F.explode(F.array("a", "b")).alias("copy_id")).groupBy("copy_id").agg(F.count("*").alias("n_links"))
-    classes = components(spark, links).withColumnRenamed("id", "copy_id")
+    classes, degree = (x.withColumnRenamed("id", "copy_id") for x in find_links(documents, members, id_col, text_col, similarity=similarity, k=k))
     facts = stored(copies.join(degree, "copy_id", "left").join(classes, "copy_id", "left"))
     out = signed.select("id", F.when(F.col("id").isNotNull(), F.col("digest")).alias("digest")).join(facts, "digest", "left")
     copy = F.coalesce("copy_id", "id")

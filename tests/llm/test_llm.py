@@ -63,6 +63,28 @@ def test_jaccard_join(spark):
     assert jaccard_join.jaccard_join(frame(spark, [])).count() == 0
 
 
+def test_jaccard_join_counts_all_links(spark):
+    r = random.Random(14)
+    texts = set()
+    for size in (12, 16, 17, 40, 300):
+        base, family = [r.choice(WORDS) for _ in range(80)], set()
+        while len(family) < size:
+            w = list(base)
+            for _ in range(r.randint(0, 2)):
+                w[r.randrange(len(w))] = r.choice(WORDS)
+            family.add(" ".join(w))
+        texts |= family
+    texts = sorted(texts, key=lambda t: r.random())
+    got = {x["doc_id"]: x["n_links"] for x in jaccard_join.jaccard_join(frame(spark, list(enumerate(texts)))).collect()}
+    sets = [set(jaccard_join.text_shingles(t, WordHashes(), 5).tolist()) for t in texts]
+    n = Counter()
+    for i, j in itertools.combinations(range(len(texts)), 2):
+        if len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.8:
+            n[i] += 1
+            n[j] += 1
+    assert got == {i: n[i] for i in range(len(texts))}
+
+
 def test_tiles_against_plain_tiling():
     r = random.Random(3)
     for _ in range(60):
