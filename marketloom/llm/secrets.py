@@ -239,10 +239,9 @@ def _on(text: str, at: int, pieces: int = PAD + 4) -> int:
 
 
 def scan(scanner: Scanner, text: str) -> list[tuple[str, int, int]]:
-    """All spans (kind, start, end), by start, then kind: the fixed patterns', and the CRF's where no pattern has matched."""
-    base = base_spans(text)
-    found = [("crf", s, t) for s, t in scanner.spans(text) if all(t <= a or s >= b for _, a, b, _ in base)]
-    return sorted([x[:3] for x in base] + found, key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
+    """All spans (kind, start, end), by start, then kind: the fixed patterns' and the CRF's, which may overlap."""
+    found = [("crf", s, t) for s, t in scanner.spans(text)]
+    return sorted([x[:3] for x in base_spans(text)] + found, key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
 
 
 def _planted(r: random.Random) -> tuple[str, str, str]:

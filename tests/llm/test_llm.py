@@ -187,6 +187,13 @@ def test_secrets(spark, secret_model):
     assert clean[0]["text"].count("<secret>") == 2 and clean[1]["text"] is None
 
 
+def test_secrets_keep_what_runs_on_from_a_pattern(spark, secret_model):
+    text = "a b c 0123456789abcdef01234567zqXk9Tt2 d e"
+    found = secrets.find_secrets(frame(spark, [(1, text)]), model=secret_model)
+    assert {(x["kind"], x["start"], x["end"]) for x in found.first()["secrets"]} == {("hex", 6, 30), ("crf", 6, 38)}
+    assert secrets.redact(found).first()["text"] == "a b c <secret> d e"
+
+
 def test_url_filter(spark):
     rules = frame(spark, [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block")], "host string, path string, verdict string")
     bad = frame(spark, [("spam.org", "/")], "host string, path string")
