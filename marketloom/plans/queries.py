@@ -360,7 +360,7 @@ def address_match(spark: SparkSession, d: str) -> DataFrame:
     b = a.blocks(spark, d).join(a.table(spark, d, "customer"), F.col("block") == F.col("c_custkey"))
     home = b.select(F.col("c_nationkey").cast("string").alias("town"), F.col("block").cast("string").alias("block"), F.concat(F.col("c_mktsegment"), F.lit(" ST")).alias("street_name"), "latitude", "longitude")
     built = home.select("block", F.concat(F.substring("street_name", 1, 3), F.lit("1")).alias("street_code"), "latitude", "longitude")
-    return matching.match_addresses(home, built.where(F.col("block").cast("int") % 7 != 0))
+    return matching.match_addresses(home, built)
 
 
 @query("""SELECT target, rank, sale_id, round(distance, 6) AS distance FROM (SELECT t.sale_id AS target, s.sale_id, d AS distance, row_number() OVER (PARTITION BY t.sale_id ORDER BY d, s.month DESC, s.sale_id) AS rank FROM t JOIN recent s USING (town, flat_type), LATERAL (SELECT sqrt(((t.area - s.area) / 10) ** 2 + ((t.storey_mid - s.storey_mid) / 6) ** 2 + ((t.lease_year - s.lease_year) / 8) ** 2 + (datediff('month', s.month, last) / 12) ** 2) + CASE WHEN t.flat_model <> s.flat_model THEN 0.25 ELSE 0 END AS d)) WHERE rank <= 5""",
