@@ -340,3 +340,27 @@ def test_html():
 def test_shingles():
     h = WordHashes().of(words("a b c d e f"))
     assert len(shingles(h, 5)) == 2 and len(shingles(h[:3], 5)) == 1 and len(shingles(h[:0], 5)) == 0
+
+
+def near(r, text, edits=1):
+    w = text.split()
+    for _ in range(edits):
+        w[r.randrange(len(w))] = r.choice(WORDS)
+    return " ".join(w)
+
+
+def test_jaccard_join_compares_rows_not_ids(spark):
+    r = random.Random(15)
+    a, b = sentence(r, 90), sentence(r, 90)
+    got = jaccard_join.jaccard_join(frame(spark, [(5, a), (5, b), (7, near(r, a)), (None, b + " x"), (8, "y " + b)])).collect()
+    assert sorted((x["doc_id"] or 0, x["class_id"] or 0, x["n_links"]) for x in got) == [(0, 0, 0), (5, 5, 1), (5, 5, 2), (7, 5, 1), (8, 5, 2)]
+
+
+def test_keep_one(spark):
+    r = random.Random(16)
+    a, b, c, d = (sentence(r, 90) for _ in range(4))
+    rows = [(9, near(r, a), 1), (3, a, 2), (3, a, 3), (3, b, 4), (None, c, 5), (None, c, 6), (None, near(r, d), 7), (11, d, 8), (12, "", 9), (None, None, 10), (13, "!", 11), (4, b, 12)]
+    got = jaccard_join.keep_one(frame(spark, rows, "doc_id long, text string, row int").withColumn("_id", F.lit(1)).withColumn("stays", F.lit(0))).collect()
+    assert sorted(x["row"] for x in got if x["row"] not in (2, 3, 5, 6)) == [4, 8, 9, 10, 11]
+    assert len({2, 3} & {x["row"] for x in got}) == len({5, 6} & {x["row"] for x in got}) == 1 and set(got[0].asDict()) == {"doc_id", "text", "row", "_id", "stays"}
+    assert jaccard_join.keep_one(frame(spark, [])).count() == 0
