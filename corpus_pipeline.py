@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marketloom.llm import decontaminate, jaccard_join, mixing, secrets
 from marketloom.llm.queries import TOXIC_FROM, table, toxic_score
-from marketloom.llm.stored import shared_folder
+from marketloom.llm.stored import new_folder, released, remove
 
 
 def clean_toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -18,10 +16,8 @@ def clean_toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of each class with the smallest id; documents without id stay."""
-    gone = jaccard_join.jaccard_join(docs).where("class_id <> doc_id").select("doc_id").distinct()
-    once = docs.where("doc_id is not null").join(F.broadcast(gone) if gone.count() <= jaccard_join.MOST_IDS else gone, "doc_id", "left_anti")
-    return once.select(docs.columns).unionByName(docs.where("doc_id is null"))
+    """One document of each class, the one with the smallest id; documents without words stay."""
+    return jaccard_join.keep_one(docs)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,9 +45,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each result is written to the shared folder and read again."""
-    docs, folder = table(spark, sf_dir, "documents"), f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    """All stages over documents; each result is written to the shared folder and read again, and what the stages before have stored is removed."""
+    docs, folder, last = table(spark, sf_dir, "documents"), new_folder(spark, "pipeline"), None
     for name, stage in STAGES:
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+        with released(spark):
+            stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
+        if last:
+            remove(spark, f"{folder}/{last}")
+        last = name
     return docs
