@@ -269,38 +269,52 @@ def _planted(r: random.Random) -> tuple[str, str, str]:
     return r.choice(plain), "", ""
 
 
-def labelled_chains(texts: list[str], per_text: int = 3, width: int = 24, seed: int = 5) -> tuple[list, list]:
-    """Windows of the given texts, half of them with something planted; labelled by what was planted and by the fixed patterns."""
+def windows(text: str, seed: str, per_text: int = 3, width: int = 24, max_word: int = 200) -> list[tuple[str, str]]:
+    """(left, right) of so many places between a text's words, ``width`` words together; only the first ``max_word`` characters of a word."""
+    r = random.Random(seed)
+    ws = [w[:max_word] for w in re.findall(r"\S+\s*", text)] or [""]
+    spots = [r.randrange(len(ws)) for _ in range(per_text)]
+    return [("".join(ws[max(0, s - width // 2) : s]), "".join(ws[s : s + width // 2])) for s in spots]
+
+
+def labelled_chains(places: list[tuple[str, str]], seed: int = 5) -> tuple[list, list]:
+    """Windows with something planted in most of them; labelled by what was planted and by the fixed patterns."""
     r = random.Random(seed)
     chains, labels = [], []
-    for text in texts:
-        ws = re.findall(r"\S+\s*", text) or [""]
-        spots = [r.randrange(len(ws)) for _ in range(per_text)]
-        for spot in spots:
-            left, right = "".join(ws[max(0, spot - width // 2) : spot]), "".join(ws[spot : spot + width // 2])
-            before, secret, after = _planted(r)
-            if left and not left[-1].isspace():
-                left += " "
-            window = left + before + secret + after + r.choice((" ", "\n", ". ", "### ")) + right
-            spans = [(a, b) for _, _, b, a in base_spans(window)] + ([(len(left + before), len(left + before + secret))] if secret else [])
-            tokens, starts = _tokens(window)
-            y = []
-            for t, s in zip(tokens, starts):
-                inside = [a for a, b in spans if s < b and s + len(t) > a and _kind(t) != "sep"]
-                y.append(O if not inside else I if y and y[-1] != O and min(inside) < s else B)
-            chains.append(_chain(tokens, _file(window)))
-            labels.append(y)
+    for left, right in places:
+        before, secret, after = _planted(r)
+        if left and not left[-1].isspace():
+            left += " "
+        window = left + before + secret + after + r.choice((" ", "\n", ". ", "### ")) + right
+        spans = [(a, b) for _, _, b, a in base_spans(window)] + ([(len(left + before), len(left + before + secret))] if secret else [])
+        tokens, starts = _tokens(window)
+        y = []
+        for t, s in zip(tokens, starts):
+            inside = [a for a, b in spans if s < b and s + len(t) > a and _kind(t) != "sep"]
+            y.append(O if not inside else I if y and y[-1] != O and min(inside) < s else B)
+        chains.append(_chain(tokens, _file(window)))
+        labels.append(y)
     return chains, labels
 
 
-def fit(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", max_docs: int = 300, max_chars: int = 20_000) -> Crf:
-    """Train on windows of at most ``max_docs`` documents (those with the lowest hashed id; windows come from their first
-    ``max_chars`` characters). Without documents, the windows hold only what is planted."""
-    text = F.substring(F.coalesce(F.col(text_col), F.lit("")), 1, max_chars).alias("text")
-    rows = documents.select(F.col(id_col).cast("string").alias("id"), text).where("id is not null").orderBy(F.xxhash64("id", F.lit(5)), "id", "text").limit(max_docs).collect()
-    texts = [r["text"] for r in rows]
-    texts += [""] * max(0, 150 - len(texts))
-    chains, labels = labelled_chains(texts)
+def fit(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", max_docs: int = 300) -> Crf:
+    """Train on windows of at most ``max_docs`` documents: those with the lowest hashed id; of rows that repeat an id the one
+    with the smallest md5 of its text. Without documents, the windows hold only what is planted.
+
+    Only ids are sorted, and only windows (three of 24 words from each document) reach the driver.
+    """
+    rows = documents.select(F.col(id_col).cast("string").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).where("id is not null")
+    picked = rows.select("id").distinct().orderBy(F.xxhash64("id", F.lit(5)), "id").limit(max_docs)
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame([(i, hashlib.md5(t.encode()).hexdigest(), [dict(zip("lr", w)) for w in windows(t, i)]) for i, t in zip(pdf["id"], pdf["text"])], columns=["id", "key", "w"])
+
+    small_batches(documents.sparkSession)
+    found = rows.join(F.broadcast(picked), "id").mapInPandas(cut, "id string, key string, w array<struct<l: string, r: string>>")
+    one = found.groupBy("id").agg(F.min_by("w", "key").alias("w"))
+    places = [(w["l"], w["r"]) for row in sorted(one.collect()) for w in row["w"]]
+    chains, labels = labelled_chains(places + [("", "")] * max(0, 450 - len(places)))
     return train(chains, labels, 3, rounds=60, ridge=1e-3, forbidden=((O, I),), not_first=(I,))
 
 
@@ -336,7 +350,3 @@ def redact(documents: DataFrame, *, text_col: str = "text", secrets_col: str = "
         lambda acc: F.concat(acc["out"], F.substring(F.col(text_col), (acc["at"] + 1).cast("int"), F.lit(2**31 - 1))),
     )
     return documents.withColumn(text_col, F.when(F.size(secrets_col) > 0, keep).otherwise(F.col(text_col)))
-
-
-def digest(spans: list[tuple[str, int, int]]) -> str:
-    return hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in spans).encode()).hexdigest()
