@@ -12,11 +12,9 @@ the model that it belongs to before it is scored, else every document would look
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
@@ -24,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from marketloom.llm.stored import shared_folder
+from marketloom.llm.stored import Tables
 from marketloom.llm.text import STEP, mixed, small_batches, words
 
 ADDED = 0.1
@@ -51,65 +49,84 @@ class Words(dict):
         return np.fromiter(map(xxhash.xxh3_64_intdigest, self), np.uint64, len(self))
 
 
-def _deal(documents: DataFrame, target: Column, text_col: str, path: str) -> DataFrame:
-    """Write the rows with the block each belongs to: consecutive rows of one task, BLOCK_BYTES of text together."""
-    rows = documents.select(F.struct(*(F.col(f"`{c}`") for c in documents.columns)).alias("row"), F.coalesce(target, F.lit(False)).cast("int").alias("own"))
+def _deal(documents: DataFrame, target: Column, text_col: str, kept: list[str]) -> DataFrame:
+    """One row for each block, that is consecutive rows of one task with BLOCK_BYTES of text together: (block, rows: the kept
+    columns, own: 1 for a target, sizes: tokens of each text, words: their hashes, ascending, at: the word of every token)."""
+    rows = documents.select(F.struct(*(F.col(f"`{c}`") for c in kept)).alias("row"), F.coalesce(target, F.lit(False)).cast("int").alias("own"), F.col(f"`{text_col}`").alias("text"))
+    schema = T.StructType([T.StructField("block", T.LongType()), T.StructField("rows", T.ArrayType(rows.schema["row"].dataType)), *(T.StructField(c, T.BinaryType()) for c in ("own", "sizes", "words", "at"))])
 
-    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first, seen = TaskContext.get().partitionId() << 32, 0
-        for batch in batches:
-            ends = seen + np.cumsum(batch.column("size").to_numpy())
-            seen = int(ends[-1]) if len(ends) else seen
-            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("own"), pa.array(first + ends // BLOCK_BYTES, pa.int64())], names=["row", "own", "block"])
-
-    sized = rows.withColumn("size", F.coalesce(F.octet_length(F.col("row")[text_col]), F.lit(0)).cast("long"))
-    sized.mapInArrow(number, T.StructType([*rows.schema.fields, T.StructField("block", T.LongType())])).write.option("compression", "zstd").parquet(path)
-    return documents.sparkSession.read.parquet(path)
-
-
-def _most_frequent(blocks: DataFrame, text: Column, n: int) -> np.ndarray:
-    """The target's n most frequent words, ties to the smaller hash."""
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, table, size, ids, pieces, owns = TaskContext.get().partitionId() << 32, Words(), 0, [], [], []
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            table = Words()
-            times = np.bincount(np.concatenate([np.zeros(0, np.int32), *(table.of(t) for t in pdf["text"])]), minlength=len(table))
-            yield pd.DataFrame({"word": table.hashes().view(np.int64), "n": times})
+        def block() -> pa.RecordBatch:
+            word, place = np.unique(table.hashes(), return_inverse=True)
+            at = place[np.concatenate([np.zeros(0, np.int32), *ids])].astype(np.int32)
+            each = pa.concat_arrays(pieces)
+            binary = [np.concatenate(owns).astype(np.int8), np.fromiter(map(len, ids), np.int64, len(ids)), word, at]
+            return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(each)], pa.int32()), each), *(pa.array([x.tobytes()], pa.binary()) for x in binary)], names=schema.names)
 
-    counted = blocks.where("own = 1").select(text.alias("text")).mapInPandas(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return np.sort(np.array([r["word"] for r in counted.orderBy(F.desc("n"), "word").limit(n).collect()], np.int64))
+        for batch in batches:
+            start, own = 0, batch.column("own").to_numpy()
+            for i, text in enumerate(batch.column("text").to_pylist()):
+                ids.append(table.of(text))
+                size += len(text.encode()) if text else 0
+                if size >= BLOCK_BYTES or i == len(own) - 1:
+                    pieces.append(batch.column("row").slice(start, i + 1 - start))
+                    owns.append(own[start : i + 1])
+                    start = i + 1
+                if size >= BLOCK_BYTES:
+                    yield block()
+                    number, table, size, ids, pieces, owns = number + 1, Words(), 0, [], [], []
+        if ids:
+            yield block()
+
+    return rows.mapInArrow(deal, schema)
 
 
 class Block:
     """The words and pairs of a block's texts, each numbered in the order of their hashes.
 
-    word, pair: hashes; at: the word of every token; text: the text that it stands in; before: the word before it and
-    pair: the two together, for the tokens (behind) that are not the first of their text.
+    word, pair: hashes; at: the word of every token; text: the text that it stands in; heads: the tokens that are counted
+    as the first of a pair, which is numbered in of_pair.
     known: the only words that count as the first of a pair; None: all.
     """
 
-    def __init__(self, texts: list[str | None], known: np.ndarray | None):
-        table = Words()
-        ids = [table.of(t) for t in texts]
-        self.sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        self.text = np.repeat(np.arange(len(ids)), self.sizes)
-        self.word, place = np.unique(table.hashes(), return_inverse=True)
-        self.at = place[np.concatenate([np.zeros(0, np.int32), *ids])]
-        self.behind = np.flatnonzero(self.text[1:] == self.text[:-1]) + 1
+    def __init__(self, sizes: bytes, words: bytes, at: bytes, known: np.ndarray | None):
+        self.sizes, self.word, self.at = np.frombuffer(sizes, np.int64), np.frombuffer(words, np.uint64), np.frombuffer(at, np.int32).astype(np.int64)
+        v = len(self.word)
+        self.text = np.repeat(np.arange(len(self.sizes)), self.sizes)
+        self.last = np.cumsum(self.sizes)[self.sizes > 0] - 1
+        after = np.append(self.at[1:], 0)
+        after[self.last] = v
+        codes, self.rank = np.unique(self.at * (v + 1) + after, return_inverse=True)
+        self.first, second = np.divmod(codes, v + 1)
+        counted = second < v
         if known is not None:
-            self.behind = self.behind[np.isin(self.word, known)[self.at[self.behind - 1]]]
-        self.before = self.at[self.behind - 1]
-        codes, place = np.unique(self.before * len(self.word) + self.at[self.behind], return_inverse=True)
-        first, second = np.divmod(codes, max(1, len(self.word)))
-        self.pair, number = np.unique(mixed(self.word[first] * STEP + self.word[second]), return_inverse=True)
-        self.of_pair = number[place]
+            counted &= np.isin(self.word, known)[self.first]
+        numbers = np.full(len(codes), -1)
+        self.pair, numbers[counted] = np.unique(mixed(self.word[self.first[counted]] * STEP + self.word[second[counted]]), return_inverse=True)
+        of_pair = numbers[self.rank]
+        self.heads = np.flatnonzero(of_pair >= 0)
+        self.of_pair = of_pair[self.heads]
 
     def counts(self, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """How often (a row each) a word stands in background and target texts, and is followed by another; and the same of pairs."""
-        sides = [own[self.text] == k for k in (0, 1)]
+        side = own[self.text]
+        sides, heads = [side == k for k in (0, 1)], [side[self.heads] == k for k in (0, 1)]
         n = [np.bincount(self.at[x], minlength=len(self.word)) for x in sides]
-        n += [np.bincount(self.before[x[self.behind]], minlength=len(self.word)) for x in sides]
-        return np.stack(n), np.stack([np.bincount(self.of_pair[x[self.behind]], minlength=len(self.pair)) for x in sides])
+        n += [np.bincount(self.at[self.heads[x]], minlength=len(self.word)) for x in heads]
+        return np.stack(n), np.stack([np.bincount(self.of_pair[x], minlength=len(self.pair)) for x in heads])
+
+    def within(self) -> tuple[np.ndarray, np.ndarray]:
+        """How often each token's word, and its pair with the next word, occurs in its text."""
+        order = np.argsort(self.text * max(1, len(self.first)) + self.rank)
+        text, rank = self.text[order], self.rank[order]
+        words, pairs = np.zeros(len(order), np.int64), np.zeros(len(order), np.int64)
+        for out, key in ((words, self.first[rank]), (pairs, rank)):
+            starts = np.flatnonzero(np.append(True, (text[1:] != text[:-1]) | (key[1:] != key[:-1]))) if len(order) else order
+            n = np.diff(np.append(starts, len(order)))
+            out[order] = np.repeat(n, n)
+        return words, pairs
 
     def losses(self, own: np.ndarray, n: np.ndarray, m: np.ndarray, tokens: np.ndarray, vocabulary: int) -> list[np.ndarray]:
         """Mean loss per token in nats of each text by the background and by the target model; own: the model that has counted it.
@@ -117,13 +134,18 @@ class Block:
         n and m: the corpus's counts, as from counts(); tokens: their sums.
         """
         matched = tokens[1] / tokens[0] if tokens.all() else 1.0
-        at, before, pair, behind, out = self.at, self.before, self.of_pair, self.behind, []
-        mine_at, mine_before, mine_pair = _own(self.text, at), _own(self.text[behind], before), _own(self.text[behind], pair)
+        at, heads, side, out = self.at, self.heads, own[self.text], []
+        mine_at, mine_pair = self.within()
+        ends = np.full(len(self.sizes), -1)
+        ends[self.text[self.last]] = at[self.last]
+        # a text's last token is the first of no pair
+        before, mine_pair, mine_before = at[heads], mine_pair[heads], (mine_at - (at == ends[self.text]))[heads]
+        own_size = self.sizes[self.text]
         for k in (0, 1):
-            mine, scale = (own == k)[self.text], matched if k == 0 else 1.0
-            p = (scale * (n[k][at] - mine_at * mine) + ADDED) / (scale * (tokens[k] - self.sizes[self.text] * mine) + ADDED * vocabulary)
-            mine = mine[behind]
-            p[behind] = (scale * (m[k][pair] - mine_pair * mine) + PRIOR * p[behind]) / (scale * (n[k + 2][before] - mine_before * mine) + PRIOR)
+            mine, scale = side == k, matched if k == 0 else 1.0
+            p = (scale * (n[k][at] - mine_at * mine) + ADDED) / (scale * (tokens[k] - own_size * mine) + ADDED * vocabulary)
+            mine = mine[heads]
+            p[heads + 1] = (scale * (m[k][self.of_pair] - mine_pair * mine) + PRIOR * p[heads + 1]) / (scale * (n[k + 2][before] - mine_before * mine) + PRIOR)
             out.append(np.bincount(self.text, weights=-np.log(p), minlength=len(self.sizes)) / np.maximum(1, self.sizes))
         return out
 
@@ -132,10 +154,18 @@ class Block:
         return tuple(np.searchsorted((x >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32), np.arange(parts + 1, dtype=np.uint64)) for x in (self.word, self.pair))
 
 
-def _own(texts: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    """How often each token's key occurs in the token's text."""
-    _, at, n = np.unique(texts * (int(keys.max(initial=0)) + 1) + keys, return_inverse=True, return_counts=True)
-    return n[at]
+def _most_frequent(blocks: DataFrame, n: int) -> np.ndarray:
+    """The target's n most frequent words, ties to the smaller hash."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                block = Block(row["sizes"], row["words"], row["at"], None)
+                times = block.counts(np.frombuffer(row["own"], np.int8))[0][1]
+                yield pa.RecordBatch.from_arrays([pa.array(block.word.view(np.int64)), pa.array(times)], names=["word", "n"])
+
+    counted = blocks.select("own", "sizes", "words", "at").mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).where("n > 0")
+    return np.sort(np.array([r["word"] for r in counted.orderBy(F.desc("n"), "word").limit(n).collect()], np.int64))
 
 
 def _packed(x: np.ndarray) -> bytes:
@@ -152,37 +182,26 @@ def _steps(hashes: np.ndarray) -> np.ndarray:
     return np.diff(hashes, prepend=np.uint64(0))
 
 
-def _block_counts(blocks: DataFrame, text: Column, known: np.ndarray | None, parts: int) -> DataFrame:
-    """(block, part, words, pairs, keys, counts): a block's different words and pairs with hashes in a range, and their counts.
-
-    A block that is read in two pieces has two rows a range.
-    """
+def _block_counts(blocks: DataFrame, known: np.ndarray | None, parts: int) -> DataFrame:
+    """(block, part, words, pairs, keys, counts): a block's different words and pairs with hashes in a range, and their counts."""
     types = {"block": pa.int64(), "part": pa.int64(), "words": pa.int64(), "pairs": pa.int64(), "keys": pa.binary(), "counts": pa.binary()}
 
-    def rows_of(number: int, texts: list[str | None], owns: list[int]) -> pa.RecordBatch:
-        block = Block(texts, known)
-        n, m = block.counts(np.array(owns))
+    def rows_of(row: dict) -> pa.RecordBatch:
+        block = Block(row["sizes"], row["words"], row["at"], known)
+        n, m = block.counts(np.frombuffer(row["own"], np.int8))
         a, b = block.cuts(parts)
         out = []
         for i in np.flatnonzero((np.diff(a) > 0) | (np.diff(b) > 0)):
             w, p = slice(a[i], a[i + 1]), slice(b[i], b[i + 1])
-            out.append((number, i, a[i + 1] - a[i], b[i + 1] - b[i], _packed(np.concatenate((_steps(block.word[w]), _steps(block.pair[p])))), _packed(np.concatenate((n[:, w].ravel(), m[:, p].ravel())))))
+            out.append((row["block"], i, a[i + 1] - a[i], b[i + 1] - b[i], _packed(np.concatenate((_steps(block.word[w]), _steps(block.pair[p])))), _packed(np.concatenate((n[:, w].ravel(), m[:, p].ravel())))))
         return pa.RecordBatch.from_arrays([pa.array([x[j] for x in out], t) for j, t in enumerate(types.values())], schema=pa.schema(types))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, texts, owns = None, [], []
         for batch in batches:
-            for block, own, text_ in zip(*(batch.column(c).to_pylist() for c in ("block", "own", "text"))):
-                if block != at:
-                    if texts:
-                        yield rows_of(at, texts, owns)
-                    at, texts, owns = block, [], []
-                texts.append(text_)
-                owns.append(own)
-        if texts:
-            yield rows_of(at, texts, owns)
+            for i in range(len(batch)):
+                yield rows_of(batch.slice(i, 1).to_pylist()[0])
 
-    return blocks.select("block", "own", text.alias("text")).mapInArrow(count, "block long, part long, words long, pairs long, keys binary, counts binary")
+    return blocks.select("block", "own", "sizes", "words", "at").mapInArrow(count, "block long, part long, words long, pairs long, keys binary, counts binary")
 
 
 def _add_up(rows: pa.Table) -> pa.Table:
@@ -204,47 +223,50 @@ def _add_up(rows: pa.Table) -> pa.Table:
     out, (different, sums) = [], whole[0]
     once = (len(different), int(sums[0].sum()), int(sums[1].sum()))
     for block, pieces in found.items():
-        w, p = (x[0] if len(x) == 1 else np.unique(np.concatenate(x)) for x in pieces)
+        (w,), (p,) = pieces
         out.append((block, rows[0]["part"], len(w), len(p), _packed(np.concatenate((whole[0][1][:, w].ravel(), whole[1][1][:, p].ravel()))), *(once if not out else (0, 0, 0))))
     return pa.Table.from_arrays([pa.array([x[j] for x in out], pa.binary() if j == 4 else pa.int64()) for j in range(8)], names=["block", "part", "words", "pairs", "counts", "vocabulary", "n0", "n1"])
 
 
-def score(documents: DataFrame, *, text_col: str = "text", target: Column, contexts: int | None = None) -> DataFrame:
-    """Add ``n_tokens``, ``target_loss``, ``background_loss`` and ``difference`` (background minus target; above 0: like the target).
+def score(documents: DataFrame, *, text_col: str = "text", target: Column, contexts: int | None = None, keep: list[str] | None = None) -> DataFrame:
+    """The documents with ``n_tokens``, ``target_loss``, ``background_loss`` and ``difference`` (background minus target; above 0: like the target).
 
-    ``target`` says which rows train the target model (null: background). Columns of the added names are replaced. A text
+    ``target`` says which rows train the target model (null: background). ``keep`` lists the columns to return beside the
+    losses (default: all); columns of the added names are replaced. A text
     without words (null, empty) has 0 tokens, null losses and difference 0. Repeated rows are counted and scored each.
     If no row, or every row, is a target, one model is empty and falls back to equal chances. Words are counted behind
     every word; ``contexts``: only behind so many of the target's most frequent ones, behind others they are drawn alone.
+    Words and pairs are told apart by 64-bit hashes.
     The blocks and the counts are written to the shared folder before the result is returned.
     """
     spark = documents.sparkSession
     small_batches(spark)
-    folder = f"{shared_folder(spark)}/lm-{uuid.uuid4().hex}"
-    blocks = _deal(documents, target, text_col, f"{folder}/blocks")
-    text = F.col("row")[text_col]
-    known = None if contexts is None else _most_frequent(blocks, text, contexts).view(np.uint64)
-    parts = max(PARTS, 2 * blocks.select("block").distinct().count())
-    summed = _block_counts(blocks, text, known, parts).groupBy("part").applyInArrow(_add_up, "block long, part long, words long, pairs long, counts binary, vocabulary long, n0 long, n1 long")
-    summed.write.parquet(f"{folder}/counts")
-    counts = spark.read.parquet(f"{folder}/counts")
+    tables = Tables(spark, "lm")
+    kept = [c for c in (documents.columns if keep is None else keep) if c not in dict(LOSSES)]
+    blocks = tables.keep(_deal(documents, target, text_col, kept))
+    n_blocks = blocks.count()
+    known = None if contexts is None else _most_frequent(blocks, contexts).view(np.uint64)
+    parts = max(PARTS, 2 * n_blocks)
+    counts = tables.keep(_block_counts(blocks, known, parts).groupBy("part").applyInArrow(_add_up, "block long, part long, words long, pairs long, counts binary, vocabulary long, n0 long, n1 long"))
     totals = counts.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("vocabulary", "n0", "n1"))).first()
     tokens, vocabulary = np.array([totals["n0"], totals["n1"]], float), totals["vocabulary"] + 1
-
-    kept = [c for c in documents.columns if c not in dict(LOSSES)]
-    schema = T.StructType([T.StructField("row", blocks.schema["row"].dataType), *(T.StructField(c, t) for c, t in LOSSES)])
+    schema = T.StructType([T.StructField("row", blocks.schema["rows"].dataType.elementType), *(T.StructField(c, t) for c, t in LOSSES)])
 
     def score_block(rows: pa.Table, model: pa.Table) -> pa.Table:
-        block = Block([t for chunk in rows.column("row").chunks for t in chunk.field(text_col).to_pylist()], known)
+        own = np.frombuffer(rows.column("own")[0].as_py(), np.int8)
+        block = Block(*(rows.column(c)[0].as_py() for c in ("sizes", "words", "at")), known)
         n, m = np.zeros((4, len(block.word)), np.int64), np.zeros((2, len(block.pair)), np.int64)
         a, b = block.cuts(parts)
         for part, n_words, n_pairs, packed in zip(*(model.column(c).to_pylist() for c in ("part", "words", "pairs", "counts"))):
             got = _unpacked(packed, 4 * n_words + 2 * n_pairs)
             n[:, a[part] : a[part + 1]], m[:, b[part] : b[part + 1]] = got[: 4 * n_words].reshape(4, -1), got[4 * n_words :].reshape(2, -1)
-        background, target_ = block.losses(rows.column("own").to_numpy(), n, m, tokens, vocabulary)
+        background, target_ = block.losses(own, n, m, tokens, vocabulary)
         none = block.sizes == 0
         found = [pa.array(block.sizes), pa.array(target_, mask=none), pa.array(background, mask=none), pa.array(np.where(none, 0.0, background - target_))]
-        return pa.Table.from_arrays([rows.column("row"), *found], names=["row", *dict(LOSSES)])
+        return pa.Table.from_arrays([rows.column("rows").combine_chunks().flatten(), *found], names=["row", *dict(LOSSES)])
 
-    scored = blocks.groupBy("block").cogroup(counts.select("block", "part", "words", "pairs", "counts").groupBy("block")).applyInArrow(score_block, schema)
+    # a task for each block, so that what a task reads does not grow with the corpus
+    tasks = max(1, n_blocks)
+    left, right = blocks.repartition(tasks, "block"), counts.select("block", "part", "words", "pairs", "counts").repartition(tasks, "block")
+    scored = left.groupBy("block").cogroup(right.groupBy("block")).applyInArrow(score_block, schema)
     return scored.select(*(F.col("row")[c].alias(c) for c in kept), *dict(LOSSES))

@@ -9,7 +9,7 @@ from marketloom.llm import decontaminate, html, jaccard_join, licenses, lm_scori
 
 #: (host, path, verdict)
 URL_RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block"))
-#: Sites whose pages the filter blocks where no rule speaks, under three top-level domains.
+#: A stand-in for a published list: sites whose pages the filter blocks where no rule speaks, under three top-level domains.
 BLOCKED_SITES = ("adult-x", "ads-track", "casino-win", "cheap-pills", "free-bets", "spam-farm")
 BLOCKED_ENDS = ("example.com", "example.net", "example.org")
 TOXIC_FROM = 0.7
@@ -25,7 +25,7 @@ def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     good = table(spark, sf_dir, "labels").where("quality = 1 and doc_id is not null").select("doc_id").distinct().withColumn("good", F.lit(True))
     small = good.count() <= jaccard_join.MOST_IDS
     documents = documents.join(F.broadcast(good) if small else good, "doc_id", "left")
-    return lm_scoring.score(documents, target=F.col("good")).select("doc_id", "n_tokens", "target_loss", "background_loss", "difference")
+    return lm_scoring.score(documents, target=F.col("good"), keep=["doc_id"]).select("doc_id", "n_tokens", "target_loss", "background_loss", "difference")
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,7 +97,8 @@ split AS (SELECT row_number() OVER () AS n, page_id, regexp_extract(r, '^[^/?#]*
 parts AS (SELECT n, page_id, translate(h, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(substr(r, length(h) + 1), '^[^?#]*') AS path FROM split),
 fits AS (SELECT n, rh || rp AS rule, rv, row_number() OVER (PARTITION BY n ORDER BY length(rh || rp) DESC, length(rh) DESC) AS k
          FROM parts JOIN rules ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp)),
-bad AS (SELECT DISTINCT n FROM parts JOIN blocked ON (host = bh OR ends_with(host, '.' || bh)) AND starts_with(path, '/'))
+forms AS (SELECT n, regexp_replace(host, '^.*@|:[0-9]*$|\\.+(:[0-9]*)?$', '', 'g') AS ch, CASE WHEN path = '' THEN '/' ELSE path END AS cp FROM parts),
+bad AS (SELECT DISTINCT n FROM forms JOIN blocked ON (ch = bh OR ends_with(ch, '.' || bh)) AND starts_with(cp, '/'))
 SELECT page_id, host, path, rule, coalesce(rv, CASE WHEN bad.n IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict
 FROM parts LEFT JOIN (SELECT * FROM fits WHERE k = 1) f ON parts.n = f.n LEFT JOIN bad ON parts.n = bad.n
 """
