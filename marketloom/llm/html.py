@@ -10,9 +10,11 @@ from __future__ import annotations
 
 import random
 import re
+from collections import Counter
 from dataclasses import dataclass
 from html.parser import HTMLParser
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,6 +25,7 @@ from marketloom.llm.text import small_batches
 BLOCK = frozenset("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section select summary table tbody td textarea tfoot th thead title tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 HIDDEN = frozenset("script style noscript template title iframe svg canvas object audio video datalist".split())
+CLOSED = re.compile(rf"</({'|'.join(sorted(HIDDEN))})\b", re.I)
 #: start tag -> open tags that it ends, if they are nearer than the barrier
 ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "body": ("head",)}
 BARRIER = frozenset("ul ol dl table menu select article section main".split())
@@ -41,6 +44,7 @@ KINDS = {
 }
 KIND_OF = {w: k for k, ws in KINDS.items() for w in ws.split()}
 #: words of the text itself that speak for boilerplate
+AROUND = frozenset("nav aside footer header form button select menu dialog".split())
 SAID = frozenset("cookie cookies subscribe newsletter advertisement sponsored copyright login register privacy comments reply share consent".split())
 PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 SPACE = re.compile(r"\s+")
@@ -54,10 +58,15 @@ class Block:
 
 
 class _Blocks(HTMLParser):
-    """Collects the leaf blocks. Open elements are (tag, region kinds, label of a training page or None)."""
+    """Collects the leaf blocks. Open elements are (tag, region kinds, label of a training page or None).
 
-    def __init__(self) -> None:
+    An element that hides its text does so only if an end tag of it is still to come, so that one that is never closed
+    takes no text away (but for script and style, whose text can't be told from the page's).
+    """
+
+    def __init__(self, closed: Counter) -> None:
         super().__init__(convert_charrefs=True)
+        self.closed = closed
         self.open: list[tuple[str, frozenset, int | None]] = []
         self.parts: list[str] = []
         self.linked = 0
@@ -70,11 +79,19 @@ class _Blocks(HTMLParser):
         linked, self.parts, self.linked = self.linked, [], 0
         if text:
             label = next((x[2] for x in reversed(self.open) if x[2] is not None), 0)
-            self.blocks.append(Block(text, _features(text, linked, self.open), label))
+            self.blocks.append(Block(text, (linked, tuple(self.open)), label))
+
+    def parse_html_declaration(self, i):
+        """Marked sections are bogus comments in HTML, whatever their keyword."""
+        return self.parse_bogus_comment(i) if self.rawdata.startswith("<![", i) else super().parse_html_declaration(i)
 
     def handle_starttag(self, tag, attrs):
         if tag in BLOCK:
             self.flush()
+            # block elements end an open drawing, as browsers have it
+            drawing = next((x for x, e in enumerate(self.open) if e[0] == "svg"), None)
+            if drawing is not None and tag != "title":
+                del self.open[drawing:]
             for x in range(len(self.open) - 1, -1, -1):
                 if self.open[x][0] in ENDS.get(tag, ()):
                     del self.open[x:]
@@ -92,15 +109,19 @@ class _Blocks(HTMLParser):
             self.parts.append(" ")
         if tag in VOID:
             return
+        if tag in HIDDEN and tag not in ("script", "style") and self.closed[tag] <= 0:
+            tag = "span"
         a = {k: v or "" for k, v in attrs}
         named = " ".join(a.get(k, "") for k in ("class", "id", "role", "aria-label"))
         kinds = frozenset(KIND_OF[w] for w in map(str.lower, PART.findall(named)) if w in KIND_OF)
         self.open.append((tag, kinds, int(a["data-y"]) if a.get("data-y", "") in ("0", "1") else None))
 
     def handle_startendtag(self, tag, attrs):
-        self.handle_starttag(tag, attrs)
+        if tag not in HIDDEN:
+            self.handle_starttag(tag, attrs)
 
     def handle_endtag(self, tag):
+        self.closed[tag] -= 1
         if tag in BLOCK:
             self.flush()
         for x in range(len(self.open) - 1, -1, -1):
@@ -118,20 +139,29 @@ class _Blocks(HTMLParser):
             self.linked += len(data.strip())
 
 
-def _features(text: str, linked: int, path: list[tuple[str, frozenset, int | None]]) -> tuple[str, ...]:
+def _core(path: tuple) -> bool:
+    """Whether a block lies in an element that sites use for the article itself."""
+    return any(t in ("article", "main") or "body" in kinds for t, kinds, _ in path) and not any("talk" in kinds for _, kinds, _ in path)
+
+
+def _features(text: str, linked: int, path: tuple, page: str) -> tuple[str, ...]:
+    """page: whether the page has an element for the article."""
     tags = {t for t, _, _ in path if t not in ("html", "body")}
     kinds = set().union(*(k for _, k, _ in path)) if path else set()
     own = next((t for t, _, _ in reversed(path) if t in BLOCK), "-")
+    zone = "core" if _core(path) else page
+    around = min(2, len(tags & AROUND) + len(kinds - {"body"}))
     words = text.split(" ")
     n = len(words)
-    found = {"all", f"own:{own}", f"words:{min(6, n.bit_length())}", f"linked:{min(4, int(5 * linked / len(text)))}"}
+    size, links = f"words:{min(6, n.bit_length())}", f"linked:{min(4, int(5 * linked / len(text)))}"
+    found = {"all", f"own:{own}", size, links, f"{zone}:{around}", f"{zone}:{around}:own:{own}", f"{zone}:{around}:{links}", f"{zone}:{around}:{size}"}
     found |= {f"in:{t}" for t in tags if t in BLOCK or t == "a"} | {f"kind:{k}" for k in kinds}
     if re.search(r"[.!?…。][\"'”’)%$#&*]*$", text):
         found.add("ends")
     if "©" in text:
         found.add("copyright")
     if n <= 40 and any(w.strip(".,:!?").lower() in SAID for w in words):
-        found.add("said")
+        found.add(f"said:{zone}")
     return tuple(sorted(found))
 
 
@@ -139,11 +169,12 @@ def blocks(html: str | None) -> list[Block]:
     """Leaf blocks in page order; scripts, styles, comments and markup leave none."""
     if not html:
         return []
-    parser = _Blocks()
+    parser = _Blocks(Counter(t.lower() for t in CLOSED.findall(html)))
     parser.feed(html)
     parser.close()
     parser.flush()
-    return parser.blocks
+    page = "out" if any(_core(b.features[1]) for b in parser.blocks) else "open"
+    return [Block(b.text, _features(b.text, *b.features, page), b.label) for b in parser.blocks]
 
 
 def labelled_pages(n: int = 260, seed: int = 9) -> list[str]:
@@ -194,10 +225,14 @@ def labelled_pages(n: int = 260, seed: int = 9) -> list[str]:
 
     def main_text():
         out = [f"<h1>{words(2, 10)}{r.choice(('', '.'))}</h1>"] if r.random() < 0.85 else []
+        if r.random() < 0.15:
+            return out * (r.random() < 0.5) + [f"<p>{r.choice((sentences(1, 1), words(1, 6)))}</p>"]
         for _ in range(r.randint(1, 9)):
             x = r.random()
-            if x < 0.62:
+            if x < 0.55:
                 out.append(f"<p>{'<b>' * (r.random() < 0.2)}{sentences(1, 7)}{'</p>' * (r.random() < 0.9)}")
+            elif x < 0.63:
+                out.append("<ul>" + links(1, 5) + "</ul>")
             elif x < 0.70:
                 out.append(f"<h2>{words(1, 7)}</h2>")
             elif x < 0.76:
@@ -214,13 +249,14 @@ def labelled_pages(n: int = 260, seed: int = 9) -> list[str]:
                 out.append(f'<p>{sentences(1, 2)} <a href="/{word()}">{words(1, 5)}</a> {sentences(1, 2)}</p>')
             else:
                 out.append(r.choice((box("ad"), box("note"), box("share"), form(), box("side", r.choice(("aside", "div"))))))
-        return "".join(out)
+        return out
 
     pages = []
     for _ in range(n):
         before = [x for x, p in ((box("note"), 0.3), (header(), 0.5), (menu(), 0.7), (form(), 0.15), (box("ad"), 0.5), (box("side", r.choice(("aside", "div"))), 0.2)) if r.random() < p]
         after = [x for x, p in ((talk(), 0.4), (box("side", r.choice(("aside", "div", "section"))), 0.4), (f'<div data-y="0"{named("side")}><ul>{links(2, 6)}</ul></div>', 0.3), (form(), 0.25), (box("ad"), 0.3), (box("note"), 0.2), (footer(), 0.85)) if r.random() < p]
-        inner, x = main_text(), r.random()
+        parts, x = main_text(), r.random()
+        inner = "".join(parts)
         if r.random() < 0.25:
             inner += f'<div data-y="0">{talk()}</div>'
         if x < 0.5:
@@ -229,8 +265,10 @@ def labelled_pages(n: int = 260, seed: int = 9) -> list[str]:
             body = f'<main data-y="1">{inner}</main>'
         elif x < 0.9:
             body = f'<div data-y="1"{named("body")}>{inner}</div>'
-        else:
+        elif x < 0.95:
             body = f'<div data-y="1">{inner}</div>'
+        else:
+            body = "".join(p if p.split(">")[0].find("data-y") > 0 else re.sub(r"^<(\w+)", r'<\1 data-y="1"', p) for p in parts)
         if r.random() < 0.2:
             body = f"<main>{body}</main>"
         if r.random() < 0.06:
@@ -247,8 +285,6 @@ def fit(pages: list[str] | None = None) -> Crf:
 
 def main_text(model: Crf, html: str | None, remembered: dict | None = None) -> str:
     """Text of the blocks that Viterbi labels 1, in page order, joined by one space."""
-    import numpy as np
-
     cut = blocks(html)
     if not cut:
         return ""
