@@ -13,16 +13,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from marketloom.llm.stored import stored
+from marketloom.llm.stored import Tables
 
-PAIRS = "query_id long, vec_id long, score double"
+PAIRS = "asked long, query_id long, vec_id long, score double"
 
 
 def valid_vectors(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """(id, v) of the rows that take part: id and vector are not null, all components finite, not all of them 0."""
+    """(row, id, v) of the rows that take part: id and vector are not null, all components finite, not all of them 0."""
     v = F.col(vector_col).cast("array<double>")
     fine = F.forall(v, lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) < float("inf")), F.lit(False))) & F.exists(v, lambda x: x != 0)
-    return vectors.where(F.coalesce(fine, F.lit(False)) & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), v.alias("v"))
+    return vectors.where(F.coalesce(fine, F.lit(False)) & F.col(id_col).isNotNull()).select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("id"), v.alias("v"))
 
 
 def orders(x: np.ndarray, pivots: np.ndarray, depth: int) -> np.ndarray:
@@ -31,8 +31,8 @@ def orders(x: np.ndarray, pivots: np.ndarray, depth: int) -> np.ndarray:
     return np.argsort(d, axis=1, kind="stable")[:, :depth]
 
 
-def search_shard(ids: np.ndarray, x: np.ndarray, qids: np.ndarray, q: np.ndarray, pivots: np.ndarray, depth: int, share: float, least: int, k: int):
-    """(query id, id, distance) of the k nearest that the index finds in one shard."""
+def search_shard(ids: np.ndarray, x: np.ndarray, asked: np.ndarray, qids: np.ndarray, q: np.ndarray, pivots: np.ndarray, depth: int, share: float, least: int, k: int):
+    """(query row, query id, id, distance) of the k nearest that the index finds in one shard; its rows come by id."""
     n, out = len(ids), []
     rank = orders(x, pivots, depth)
     pivot = rank.ravel()
@@ -46,12 +46,16 @@ def search_shard(ids: np.ndarray, x: np.ndarray, qids: np.ndarray, q: np.ndarray
         for r, p in enumerate(own):
             a, b = starts[p], starts[p + 1]
             gain[who[a:b]] += (depth - r) + (depth - place[a:b]) - np.abs(r - place[a:b])
-        near = np.argpartition(-gain, want - 1)[:want] if want < n else np.arange(n)
+        near = np.arange(n)
+        if want < n:
+            least_gain = np.partition(gain, n - want)[n - want]
+            near = np.flatnonzero(gain > least_gain)
+            near = np.concatenate((near, np.flatnonzero(gain == least_gain)[: want - len(near)]))  # ties to the smaller id
         near = near[ids[near] != qids[i]]
         d = np.sqrt(((x[near] - q[i]) ** 2).sum(axis=1))
         top = near[np.lexsort((ids[near], d))[:k]]
         for t in top:
-            out.append((int(qids[i]), int(ids[t]), float(np.sqrt(((x[t] - q[i]) ** 2).sum()))))
+            out.append((int(asked[i]), int(qids[i]), int(ids[t]), float(np.sqrt(((x[t] - q[i]) ** 2).sum()))))
     return out
 
 
@@ -65,34 +69,37 @@ def search(
     shard (about ``shard_rows`` rows) a query measures the ``share`` with the best footrule, ``least`` at least.
     Shards and blocks of ``block_rows`` queries meet in tasks of their own, so that a task's size is bounded.
     Vectors that are null, zero, of another length than the first pivot's, or hold null or non-finite components take
-    no part. Repeated vectors are all found; rows that repeat an id are taken once.
+    no part. Rows that repeat an id or a vector are all candidates, but for rows with the query's own id; query rows
+    that repeat an id are each asked, with ranks of their own.
     """
-    rows = stored(valid_vectors(vectors, id_col, vector_col).dropDuplicates(["id"]))
-    asked = valid_vectors(queries, id_col, vector_col).dropDuplicates(["id"])
-    picked = rows.orderBy(F.xxhash64("id", F.lit(4)), "id").limit(n_pivots).collect()
-    schema = "query_id long, rank int, vec_id long, score double"
+    spark = vectors.sparkSession
+    tables = Tables(spark, "permutation")
+    rows, asked = tables.keep(valid_vectors(vectors, id_col, vector_col)), tables.keep(valid_vectors(queries, id_col, vector_col))
+    order = F.struct(F.xxhash64("id", F.lit(4)).alias("h"), "id", "row")
+    chosen = rows.select(order.alias("o")).orderBy("o").limit(n_pivots).select("o.*")  # narrow rows are sorted; vectors follow by row
+    picked = rows.join(F.broadcast(chosen.select("row", "h")), "row").orderBy("h", "id", "row").collect()
     if not picked:
-        return vectors.sparkSession.createDataFrame([], schema)
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     width = len(picked[0]["v"])
     pivots = np.array([p["v"] for p in picked if len(p["v"]) == width], np.float64)
     rows, asked = rows.where(F.size("v") == width), asked.where(F.size("v") == width)
     shards, blocks = max(1, -(-rows.count() // shard_rows)), max(1, -(-asked.count() // block_rows))
     depth = min(depth, len(pivots))
-    shared = vectors.sparkSession.sparkContext.broadcast(pivots)
+    shared = spark.sparkContext.broadcast(pivots)
 
     def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-        left, right = left.sort_values("id"), right.sort_values("id")
-        found = search_shard(left["id"].to_numpy(), np.vstack(left["v"].to_numpy()), right["id"].to_numpy(), np.vstack(right["v"].to_numpy()), shared.value, depth, share, least, k)
-        return pd.DataFrame(found, columns=["query_id", "vec_id", "score"])
+            return pd.DataFrame({"asked": [], "query_id": [], "vec_id": [], "score": []})
+        left, right = left.sort_values(["id", "row"]), right.sort_values(["id", "row"])
+        found = search_shard(left["id"].to_numpy(), np.vstack(left["v"].to_numpy()), right["row"].to_numpy(), right["id"].to_numpy(), np.vstack(right["v"].to_numpy()), shared.value, depth, share, least, k)
+        return pd.DataFrame(found, columns=["asked", "query_id", "vec_id", "score"])
 
     def number(n: int, seed: int):
-        return F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(n)).cast("int")
+        return F.pmod(F.xxhash64("row", F.lit(seed)), F.lit(n)).cast("int")
 
     left = rows.withColumn("shard", number(shards, 1)).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     right = asked.withColumn("block", number(blocks, 2)).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
     found = left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInPandas(meet, PAIRS)
     # Spark keeps k rows a query on the map side of this window, so that the shuffle does not grow with the shards
-    nearest = Window.partitionBy("query_id").orderBy("score", "vec_id")
+    nearest = Window.partitionBy("asked").orderBy("score", "vec_id")
     return found.withColumn("rank", F.row_number().over(nearest)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
