@@ -134,19 +134,21 @@ def mix_sources(
     per_source = stored(source_tokens(rows))
     mix = find_exponent(per_source, budget=budget, entropy=entropy, repetition=repetition)
     taken = stored(plan(rows, per_source, mix, budget=budget, block_tokens=block_tokens, seed=seed, most_broadcast=most_broadcast))
-    small = taken.count() <= most_broadcast
     sized = per_source.select("source", n_blocks(F.col("tokens"), block_tokens).alias("blocks"))
-    hint = (lambda x: F.broadcast(x)) if small else (lambda x: x)
+
+    def hinted(df: DataFrame) -> DataFrame:
+        return F.broadcast(df) if df.count() <= most_broadcast else df
 
     # the one block of a source and epoch that is taken in part: its documents in hashed order, as far as the tokens go
-    cut = rows.join(hint(sized), "source").withColumn("block", block_of(F.col("id"), F.col("blocks"), seed)).join(hint(taken.where("left is not null")), ["source", "block"])
+    cut = rows.join(hinted(sized), "source").withColumn("block", block_of(F.col("id"), F.col("blocks"), seed)).join(hinted(taken.where("left is not null")), ["source", "block"])
     cut = cut.groupBy("source", "block", "epoch", "left", "id").agg(F.sum("n_tokens").alias("n"))
     order = Window.partitionBy("source", "epoch").orderBy(F.xxhash64("epoch", "id"), "id")
-    cut = cut.withColumn("used", F.sum("n").over(order)).where("used <= left").select(F.col("source").alias("_s"), F.col("id").alias("_i"), F.col("epoch").alias("_e"))
-
-    old = [c for c in documents.columns if c in ("epoch", "weight", "place", "n_tokens")]
-    whole = documents.drop(*old).withColumns({"_source": F.coalesce(F.col(source_col), F.lit("")), "n_tokens": token_count(F.col(text_col))})
-    whole = whole.join(hint(sized.withColumnRenamed("source", "_source")), "_source").withColumn("_block", block_of(F.col(id_col), F.col("blocks"), seed))
-    placed = whole.join(hint(taken.withColumnsRenamed({"source": "_source", "block": "_block"})), ["_source", "_block"])
-    part = placed.where("left is not null").join(cut, F.col(id_col).eqNullSafe(F.col("_i")) & (F.col("_source") == F.col("_s")) & (F.col("epoch") == F.col("_e")), "left_semi")
-    return placed.where("left is null").unionByName(part).drop("_source", "_block", "blocks", "left")
+    cut = cut.withColumn("used", F.sum("n").over(order)).where("used <= left").select("source", "epoch", F.coalesce("id", F.lit(0)).alias("id"), F.col("id").isNull().alias("none"))
+
+    whole = documents.select(F.struct(*(F.col(f"`{c}`") for c in documents.columns)).alias("row"))
+    whole = whole.withColumns({"source": F.coalesce(F.col("row")[source_col], F.lit("")), "n_tokens": token_count(F.col("row")[text_col]), "id": F.coalesce(F.col("row")[id_col], F.lit(0)), "none": F.col("row")[id_col].isNull()})
+    whole = whole.join(hinted(sized), "source").withColumn("block", block_of(F.col("row")[id_col], F.col("blocks"), seed))
+    placed = whole.join(hinted(taken), ["source", "block"])
+    part = placed.where("left is not null").join(cut, ["source", "epoch", "id", "none"], "left_semi")
+    kept = [F.col("row")[c].alias(c) for c in documents.columns if c not in ("epoch", "weight", "place", "n_tokens")]
+    return placed.where("left is null").unionByName(part).select(*kept, "epoch", "weight", "place", "n_tokens")
