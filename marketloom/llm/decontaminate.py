@@ -70,23 +70,29 @@ def find_leaks(
     """(doc id, item id, item_words, covered, n_tiles, longest, coverage, tiles) of every item that leaks into a document.
 
     covered counts the item's words in tiles of at least k words. Items of fewer than k words, null or empty texts and
-    rows without id leak nowhere. Rows that repeat an id are looked at together, the tiles of each text on their own
-    places; the best of them counts. Coverage of exactly ``coverage`` leaks.
+    rows without id leak nowhere. Rows that repeat a document's or an item's id are all looked at, the tiles of each two
+    texts on their own places; the pair with the greatest coverage counts. Coverage of exactly ``coverage`` leaks.
     """
     spark = documents.sparkSession
     small_batches(spark)
 
+    def places(w: list[str], h: np.ndarray, at: np.ndarray) -> list[tuple[int, str, np.ndarray]]:
+        """(hash, its words, places) of each different seed among the given places."""
+        order = at[np.argsort(h[at], kind="stable")]
+        cuts = np.flatnonzero(np.diff(h[order])) + 1
+        return [(int(h[part[0]]) - 2**63, " ".join(w[part[0] : part[0] + k]), part.astype(np.int32)) for part in np.split(order, cuts)] if len(order) else []
+
     def of_items(batches):
         table = WordHashes()
         for pdf in batches:
             out = []
-            for i, t in zip(pdf["item"], pdf["text"]):
+            for row, i, t in zip(pdf["irow"], pdf["item"], pdf["text"]):
                 w, h = seeds(table, t, k)
-                out += [(i, len(w), int(x) - 2**63, p, " ".join(w[p : p + k])) for p, x in enumerate(h)]
-            yield pd.DataFrame(out, columns=["item", "item_words", "h", "place", "gram"])
+                out += [(row, i, len(w), x, gram, p) for x, gram, p in places(w, h, np.arange(len(h)))]
+            yield pd.DataFrame(out, columns=["irow", "item", "item_words", "h", "gram", "places"])
 
-    items = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(item_text_col).alias("text")).where("item is not null and text is not null").dropDuplicates(["item"])
-    items = stored(items.mapInPandas(of_items, "item long, item_words int, h long, place int, gram string"))
+    items = benchmark.select(F.monotonically_increasing_id().alias("irow"), F.col(item_col).cast("long").alias("item"), F.col(item_text_col).alias("text")).where("item is not null and text is not null")
+    items = stored(items.mapInPandas(of_items, "irow long, item long, item_words int, h long, gram string, places array<int>"))
 
     def bits(batches):
         found = [np.zeros(0, np.int64)]
@@ -104,31 +110,29 @@ def find_leaks(
             out = []
             for row, i, t in zip(pdf["row"], pdf["doc"], pdf["text"]):
                 w, h = seeds(table, t, k)
-                if not len(h):
-                    continue
-                a, b = _slots(h)
-                for p in np.flatnonzero(filter_[a] & filter_[b]):
-                    out.append((row, i, int(h[p]) - 2**63, int(p), " ".join(w[p : p + k])))
-            yield pd.DataFrame(out, columns=["row", "doc", "h", "at", "gram"])
+                if len(h):
+                    a, b = _slots(h)
+                    out += [(row, i, x, gram, p) for x, gram, p in places(w, h, np.flatnonzero(filter_[a] & filter_[b]))]
+            yield pd.DataFrame(out, columns=["row", "doc", "h", "gram", "ats"])
 
     docs = documents.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")).where("doc is not null and text is not null")
-    found = docs.mapInPandas(of_documents, "row long, doc long, h long, at int, gram string")
-    hits = found.join(items, ["h", "gram"]).select("row", "doc", "item", "item_words", "at", "place")
+    found = docs.mapInPandas(of_documents, "row long, doc long, h long, gram string, ats array<int>")
+    hits = found.join(items, ["h", "gram"]).select("row", "doc", "irow", "item", "item_words", "ats", "places")
     # a seed covers k words of the item, so that too few different ones can't reach the coverage
-    able = F.count_distinct("place") * k >= F.first("item_words") * coverage
-
-    grouped = hits.groupBy("row", "doc", "item").agg(able.alias("able"), F.first("item_words").alias("item_words"), F.collect_list(F.struct("at", "place")).alias("hits")).where("able")
+    able = F.sum(F.size("places")) * k >= F.first("item_words") * coverage
+    grouped = hits.groupBy("row", "doc", "irow", "item").agg(able.alias("able"), F.first("item_words").alias("item_words"), F.collect_list(F.struct("ats", "places")).alias("hits")).where("able")
 
     def tile_rows(batches):
         for pdf in batches:
             out = []
             for doc, item, n, found_ in zip(pdf["doc"], pdf["item"], pdf["item_words"], pdf["hits"]):
-                got = tiles(np.array([(h["at"], h["place"]) for h in found_]), k)
+                each = [np.stack(np.meshgrid(h["ats"], h["places"], indexing="ij"), axis=-1).reshape(-1, 2) for h in found_]
+                got = tiles(np.concatenate(each).astype(np.int64), k)
                 covered = sum(t[2] for t in got)
                 out.append((doc, item, n, covered, len(got), max(t[2] for t in got), covered / n, [{"at": d, "place": i, "words": m} for d, i, m in got]))
             yield pd.DataFrame(out, columns=["doc", "item", "item_words", "covered", "n_tiles", "longest", "coverage", "tiles"])
 
     tiled = grouped.select("doc", "item", "item_words", "hits").mapInPandas(tile_rows, "doc long, item long, item_words int, covered int, n_tiles int, longest int, coverage double, tiles array<struct<at: int, place: int, words: int>>")
     leaks = tiled.where(F.col("coverage") >= coverage)
-    best = leaks.groupBy("doc", "item").agg(F.max_by(F.struct("item_words", "covered", "n_tiles", "longest", "coverage", "tiles"), F.struct("covered", -F.col("n_tiles"))).alias("b"))
+    best = leaks.groupBy("doc", "item").agg(F.max_by(F.struct("item_words", "covered", "n_tiles", "longest", "coverage", "tiles"), F.struct("coverage", "covered", -F.col("n_tiles"), "tiles")).alias("b"))
     return best.select(F.col("doc").alias(id_col), F.col("item").alias(item_col), "b.*")

@@ -364,3 +364,139 @@ def test_keep_one(spark):
     assert sorted(x["row"] for x in got if x["row"] not in (2, 3, 5, 6)) == [4, 8, 9, 10, 11]
     assert len({2, 3} & {x["row"] for x in got}) == len({5, 6} & {x["row"] for x in got}) == 1 and set(got[0].asDict()) == {"doc_id", "text", "row", "_id", "stays"}
     assert jaccard_join.keep_one(frame(spark, [])).count() == 0
+
+
+HARD_PAGES = {
+    "<p>a</p><![foo bar[x]]>": "a",
+    "<article><p>One two three.</p></article>": "One two three.",
+    '<article><p>One two three.</p></article><section class="comments"><h3>Comments</h3><div><p>I like it.</p></div></section>': "One two three.",
+    "<h1>T</h1><form><label>Search</label><input><button>Go</button></form><p>Text follows here.</p>": "T Text follows here.",
+    "<h1>T</h1><svg><path d=''><p>This comes after an unclosed drawing.</p><p>And more.</p>": "T This comes after an unclosed drawing. And more.",
+    "<noscript><p>Never closed here.</p>": "Never closed here.",
+    "<article><h1>Title of it</h1><p>Some text goes here, and more.</p><ul><li><a href=x>First source</a></li><li><a href=y>Second source</a></li></ul></article><footer>c</footer>": "Title of it Some text goes here, and more. First source Second source",
+    "<article><p>A b.</p><aside>side</aside><p>B &amp;\n c&#46;</p></article>": "A b. B & c.",
+    "": "",
+    "<script>x()</script><style>p{}</style><!-- no -->": "",
+    "<p>x<": "x<",
+}
+
+
+def test_html_extract(spark):
+    long = "<nav><a href=/>Home</a></nav><article>" + "<p>It was a good day, and long.</p>" * 20_000 + "</article>"
+    pages = [*HARD_PAGES, None, long, "<p>a</p><![foo bar[x]]>"]
+    df = frame(spark, list(enumerate(pages)), "page_id long, html string").withColumns({"text": F.lit("old"), "url": F.lit(None)})
+    got = {x["page_id"]: x["text"] for x in html.extract(df).collect()}
+    want = [HARD_PAGES.get(p, "") for p in pages]
+    want[len(HARD_PAGES) + 1] = " ".join(["It was a good day, and long."] * 20_000)
+    assert got == dict(enumerate(want))
+    assert html.extract(df.limit(0)).count() == 0
+
+
+def test_html_against_an_independent_extractor(spark):
+    """Pages with an article element, cut by regular expressions: its text without the boxes inside it."""
+    import html as standard
+
+    r = random.Random(17)
+    s = lambda n: " ".join(r.choice(WORDS) for _ in range(n)).capitalize() + "."
+    pages = []
+    for i in range(40):
+        inside = "".join(r.choice((f"<p>{s(r.randint(2, 30))} &eacute;&nbsp;{s(3)}</p>", f"<h2>{s(3)}</h2>", f"<ul><li>{s(4)}</li><li><a href='/x'>{s(2)}</a></li></ul>", f"<aside><p>{s(6)}</p></aside>", f"<div class='ad'>{s(5)}</div>", f"<script>var x = '{s(3)}'</script>")) for _ in range(r.randint(2, 9)))
+        pages.append((i, f"<html><head><title>{s(3)}</title></head><body><header>{s(2)}</header><nav><ul><li><a href='/'>{s(1)}</a></li></ul></nav><div class='cookie-banner'>{s(4)}</div><article><h1>{s(4)}</h1>{inside}</article><section class='comments'><p>{s(9)}</p></section><aside>{s(4)}</aside><footer>&copy; {s(2)}</footer></body></html>"))
+    got = {x["page_id"]: x["text"] for x in html.extract(frame(spark, pages, "page_id long, html string")).collect()}
+    for i, page in pages:
+        article = re.sub(r"<(aside|script)>.*?</\1>|<div class='ad'>.*?</div>", " ", re.search("<article>(.*)</article>", page)[1])
+        assert got[i] == " ".join(standard.unescape(re.sub("<[^>]*>", " ", article)).split())
+
+
+def test_url_filter_edges(spark):
+    rules = frame(spark, [("com", "/", "allow"), (None, "/", "block")], "host string, path string, verdict string")
+    bad = frame(spark, [("spam.org", "/"), ("x.org", "/a/")], "host string, path string")
+    urls = ["http://spam.org", "http://u:p@spam.org:80/z", "http://SPAM.org.?q", "http://x.org/a/b", "http://x.org/b", None, None, "http://y.org/" + "a" * 50_000, "http://spam.org", "http://spam.org.evil.net/"]
+    df = frame(spark, list(enumerate(urls)), "page_id long, url string").withColumns({c: F.lit("old") for c in ("best", "_url_", "u", "key", "row", "spread", "rule")})
+    got = url_filter.judge(df, rules, bad)
+    assert {x["page_id"]: x["verdict"] for x in got.collect()} == dict(enumerate(["block"] * 4 + ["allow"] * 4 + ["block", "allow"]))
+    assert set(got.columns) == {*df.columns, "host", "path", "verdict"} and got.where("rule is not null").count() == 0
+    assert url_filter.judge(df.limit(0), rules, bad).count() == 0
+
+
+def test_mixing_realises_the_permutation(spark):
+    """Blocks, their order in each epoch and the cut of the last, partial epoch, against plain loops over the same hashes."""
+    r = random.Random(18)
+    rows = [(i, sentence(r, r.randint(0, 40)), r.choice(["a", "a", "a", "b", None])) for i in range(300)] + [(7, "twice the same id", "a"), (None, "no id at all", "a"), (None, "nor here", "b")]
+    docs = frame(spark, rows, "doc_id long, text string, source string").withColumns({c: F.lit(0) for c in ("blocks", "left", "_source", "block", "row", "id")})
+    budget, block_tokens, seed = 9_000, 700, 2
+    out = mixing.mix_sources(docs, budget=budget, block_tokens=block_tokens, seed=seed, entropy=None)
+    assert set(out.columns) == {*docs.columns, "epoch", "weight", "place", "n_tokens"}
+    tokens = Counter()
+    for _, t, s in rows:
+        tokens[s or ""] += len(t.split())
+    n_blocks = {s: max(1, -(-n // block_tokens)) for s, n in tokens.items()}
+    hashed = {(x["i"], x["s"]): x for x in docs.select(F.col("doc_id").alias("i"), F.coalesce("source", F.lit("")).alias("s"), F.xxhash64(F.lit(seed), "doc_id").alias("h"), *(F.xxhash64(F.lit(e), "doc_id").alias(f"o{e}") for e in range(9))).collect()}
+    size = Counter()
+    for i, t, s in rows:
+        size[s or "", hashed[i, s or ""]["h"] % n_blocks[s or ""]] += len(t.split())
+    order = {(x["e"], x["s"], x["b"]): x["h"] for x in frame(spark, [(e, s, b) for s in tokens for b in range(n_blocks[s]) for e in range(9)], "e int, s string, b int").withColumn("h", F.xxhash64(F.lit(seed), "e", "s", "b")).collect()}
+    want = Counter()
+    for s, total in tokens.items():
+        left, epoch = budget * total / sum(tokens.values()), 0
+        while left > 1e-6:
+            have = min(left, total)
+            for place, b in enumerate(sorted({b for t, b in size if t == s}, key=lambda b: (order[epoch, s, b], b)), 1):
+                if have < 1e-6:
+                    break
+                mine = [(i, t) for i, t, x in rows if (x or "") == s and hashed[i, s]["h"] % n_blocks[s] == b]
+                if size[s, b] <= have + 1e-6:
+                    want.update((i, t, s, epoch, place) for i, t in mine)
+                    have -= size[s, b]
+                    continue
+                each = Counter()
+                for i, t in mine:
+                    each[i] += len(t.split())
+                for i in sorted(each, key=lambda i: (hashed[i, s][f"o{epoch}"], (i is not None, i or 0))):
+                    have -= each[i]
+                    if have < -1 + 1e-6:
+                        break
+                    want.update((j, t, s, epoch, place) for j, t in mine if j == i)
+                break
+            left, epoch = left - total, epoch + 1
+    assert Counter((x["doc_id"], x["text"], x["source"] or "", x["epoch"], x["place"]) for x in out.collect()) == want
+
+
+def test_leaks_against_plain_tiling(spark):
+    r = random.Random(19)
+    few = "a b c d e f g h".split()
+    docs = [(i, " ".join(r.choice(few) for _ in range(r.randint(3, 90)))) for i in range(40)] + [(41, "a " * 3_000)]
+    items = [(i % 9, " ".join(r.choice(few) for _ in range(r.randint(2, 14)))) for i in range(12)] + [(20, "a " * 20)]
+    for i, (_, t) in enumerate(items[:6]):
+        w = t.split()
+        docs.append((50 + i, " ".join(w[len(w) // 2 :] + ["z"] + w[: len(w) // 2])))
+    k = 3
+    want = {}
+    for (d, text), (i, item) in itertools.product(docs, items):
+        x, y = words(text), words(item)
+        hits = np.array([(a, b) for a in range(len(x) - k + 1) for b in range(len(y) - k + 1) if x[a : a + k] == y[b : b + k]]).reshape(-1, 2)
+        covered = sum(t[2] for t in decontaminate.tiles(hits, k)) if len(hits) else 0
+        if len(y) >= k and covered / len(y) >= 0.8:
+            want[d, i] = max(want.get((d, i), 0), covered / len(y))
+    got = decontaminate.find_leaks(frame(spark, docs).withColumn("h", F.lit(1)), frame(spark, items, "item_id long, text string").withColumn("gram", F.lit("")), k=k).collect()
+    assert want and {(x["doc_id"], x["item_id"]): x["coverage"] for x in got} == want
+
+
+def test_permutation_index_on_several_shards(spark):
+    r = np.random.default_rng(20)
+    centres = r.normal(size=(12, 32))
+    x = np.concatenate([centres[r.integers(0, 12, 3000)] + 0.4 * r.normal(size=(3000, 32)), r.normal(size=(20, 32))])
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(1, x[200].tolist()), (1, x[300].tolist()), (2, x[200].tolist())]
+    df = frame(spark, rows, "vec_id long, embedding array<double>").withColumns({"row": F.lit(1), "rank": F.lit(1)})
+    got = permutation_index.search(df, df.where("vec_id % 100 = 0"), shard_rows=400, block_rows=10).collect()
+    ids, all_ = np.array([i for i, _ in rows]), np.array([v for _, v in rows])
+    hits = 0
+    for q in range(0, 3020, 100):
+        d = np.sqrt(((all_ - x[q]) ** 2).sum(axis=1))
+        d[ids == q] = np.inf
+        mine = sorted((g for g in got if g["query_id"] == q), key=lambda g: g["rank"])
+        best = np.lexsort((ids, d))[:10]
+        hits += sum(min(a, b) for a, b in ((Counter(ids[best])[i], Counter(g["vec_id"] for g in mine)[i]) for i in set(ids[best])))
+        if q in (200, 300):
+            assert 1 in {g["vec_id"] for g in mine if g["score"] == 0}
+    assert hits >= 0.9 * 10 * len(range(0, 3020, 100))
