@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketloom.functions.parsing import proper_name
+from marketloom.functions.parsing import PARK_WORDS, proper_name
 
 PLACE = ["category", "kind", "name", "detail", "latitude", "longitude", "source"]
 COORDS = {"Point": "array<double>", "LineString": "array<array<double>>", "MultiLineString": "array<array<array<double>>>", "Polygon": "array<array<array<double>>>", "MultiPolygon": "array<array<array<array<double>>>>"}
@@ -32,6 +32,11 @@ def reconcile(df: DataFrame, stated: int) -> dict:
     return {"rows": n, "stated": stated, "complete": n == stated}
 
 
+def reconcile_by(df: DataFrame, stated: DataFrame, by: str) -> DataFrame:
+    """(by, rows, stated, complete) of each source: its rows against the number that it states."""
+    return stated.join(df.groupBy(by).agg(F.count("*").alias("rows")), by, "left").select(by, F.coalesce("rows", F.lit(0)).alias("rows"), "stated", (F.coalesce("rows", F.lit(0)) == F.col("stated")).alias("complete"))
+
+
 def content_hash(df: DataFrame) -> DataFrame:
     """One row: row count and an order-insensitive sum of row hashes, for telling whether a snapshot has changed."""
     return df.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.xxhash64(*df.columns).cast("decimal(38,0)")), F.lit(0).cast("decimal(38,0)")).cast("string").alias("digest"))
@@ -41,8 +46,14 @@ def stamped(df: DataFrame, source: str, at: Column | None = None) -> DataFrame:
     return df.withColumns({"_ingested_at": F.current_timestamp() if at is None else at, "_source": F.lit(source)})
 
 
+def log_run(run: DataFrame, path: str) -> None:
+    """Append a run's row to the log."""
+    run.write.mode("append").parquet(path)
+
+
 def latest_run(log: DataFrame, at: str = "ingested_at") -> DataFrame:
-    return log.agg(F.max_by(F.struct("*"), at).alias("r")).select("r.*")
+    """The log's newest row; of equal times the one with the greatest values."""
+    return log.agg(F.max_by(F.struct("*"), F.struct(at, *(c for c in log.columns if c != at))).alias("r")).select("r.*")
 
 
 def year_series(spark: SparkSession, path: str, series: str) -> DataFrame:
@@ -73,33 +84,53 @@ def prop(name: str) -> Column:
     return F.try_element_at("properties", F.lit(name))
 
 
+#: Codes that stand in place of a station's name.
+STATION_CODES = {
+    "CC9": "PAYA LEBAR MRT STATION", "CC30": "KEPPEL MRT STATION", "CC31": "CANTONMENT MRT STATION", "CC32": "PRINCE EDWARD ROAD MRT STATION",
+    "DT4": "HUME MRT STATION", "DT18": "TELOK AYER MRT STATION", "NE18": "PUNGGOL COAST MRT STATION",
+}
+#: What the last word of a park's name may end with.
+PARK_ENDINGS = ("PK", "PARK", "GARDEN", "GARDENS", "GDN", "RESERVE", "GREEN", "PROMENADE")
+
+
+def nothing() -> Column:
+    return F.lit(None).cast("string")
+
+
+def filled(x: Column) -> Column:
+    """The trimmed text, null if empty."""
+    return F.when(F.trim(x) != "", F.trim(x))
+
+
 def stations(features: DataFrame, source: str) -> DataFrame:
-    name = F.regexp_replace(prop("STATION_NA"), r"(?i)\s+(MRT|LRT)\s+STATION$", "")
-    return _points(features, "train", F.when(F.upper(prop("STATION_NA")).contains("LRT"), "lrt").otherwise("mrt"), proper_name(name), prop("EXIT_CODE"), source).where("name is not null")
+    codes = F.create_map(*[F.lit(v) for kv in STATION_CODES.items() for v in kv])
+    raw = F.upper(filled(prop("STATION_NA")))
+    full = F.coalesce(F.try_element_at(codes, raw), raw)
+    name = proper_name(F.regexp_replace(full, r"\s+(MRT|LRT)\s+STATION$", ""))
+    return _points(features, "train", F.when(full.contains("LRT"), "LRT").otherwise("MRT"), name, F.trim(F.coalesce(prop("EXIT_CODE"), F.lit(""))), source).where("name is not null")
 
 
 def bus_stops(features: DataFrame, source: str) -> DataFrame:
-    n = F.trim(prop("BUS_STOP_NUM"))
-    return _points(features.where(n != ""), "bus", F.lit("bus_stop"), F.concat(F.lit("Bus stop "), n), n, source)
+    n = filled(prop("BUS_STOP_NUM"))
+    return _points(features.where(n.isNotNull()), "bus", nothing(), F.concat(F.lit("Bus stop "), n), n, source)
 
 
 def hawker_centres(features: DataFrame, source: str) -> DataFrame:
-    return _points(features.where(prop("STATUS").startswith("Existing")), "food", F.lit("hawker"), proper_name(prop("NAME")), prop("STATUS"), source)
-
-
-#: What the last word of a park's name may end with.
-PARK_ENDS = ("PARK", "PK", "GARDEN", "GARDENS", "GDN", "GDNS", "RESERVE", "GREEN", "WOODS")
+    open_ = features.where(prop("STATUS").startswith("Existing") & (prop("NAME") != ""))
+    return _points(open_, "hawker", nothing(), proper_name(prop("NAME")), prop("STATUS"), source)
 
 
 def parks(features: DataFrame, source: str) -> DataFrame:
-    last = F.upper(F.element_at(F.split(F.trim(F.coalesce(prop("PARK"), prop("NAME"))), r"\s+"), -1))
-    return _points(features.where(last.rlike(f"({'|'.join(PARK_ENDS)})$")), "park", F.lit("park"), proper_name(F.coalesce(prop("PARK"), prop("NAME"))), F.lit(None).cast("string"), source)
+    name = F.upper(filled(prop("NAME")))
+    last = F.element_at(F.split(name, " "), -1)
+    listed = features.where(last.rlike(f"({'|'.join(PARK_ENDINGS)})$"))
+    return _points(listed, "park", nothing(), proper_name(name, PARK_WORDS), nothing(), source)
 
 
 def line_parts(features: DataFrame, source: str) -> DataFrame:
     """(name, loop, points, source): one row per line of two points at least; multi-part lines are split."""
     lines = F.when(F.col("type") == "LineString", F.array(coordinates("LineString"))).when(F.col("type") == "MultiLineString", coordinates("MultiLineString"))
-    return features.select(prop("NAME").alias("name"), prop("PCN_LOOP").alias("loop"), F.explode(lines).alias("points"), F.lit(source).alias("source")).where(F.size("points") >= 2)
+    return features.select(F.coalesce(filled(prop("PARK")), F.lit("Park connector")).alias("name"), filled(prop("PCN_LOOP")).alias("loop"), F.explode(lines).alias("points"), F.lit(source).alias("source")).where(F.size("points") >= 2)
 
 
 def outer_rings() -> Column:
@@ -108,28 +139,40 @@ def outer_rings() -> Column:
 
 def buildings(features: DataFrame) -> DataFrame:
     """(block, street_code, postal_code, latitude, longitude): the mean vertex of all outer rings, averaged per block."""
-    pts = features.select(prop("BLK_NO").alias("block"), prop("ST_COD").alias("street_code"), prop("POSTAL_COD").alias("postal"), F.flatten(outer_rings()).alias("v")).where("block is not null and size(v) > 0")
+    pts = features.select(F.upper(filled(prop("BLK_NO"))).alias("block"), F.upper(filled(prop("ST_COD"))).alias("street_code"), filled(prop("POSTAL_COD")).alias("postal"), F.flatten(outer_rings()).alias("v"))
+    pts = pts.where("block is not null and street_code is not null and size(v) > 0")
     mean = lambda i: F.aggregate("v", F.lit(0.0), lambda a, p: a + p[i]) / F.size("v")
     return pts.select("block", "street_code", "postal", mean(1).alias("la"), mean(0).alias("lo")).groupBy("block", "street_code").agg(F.min("postal").alias("postal_code"), F.avg("la").alias("latitude"), F.avg("lo").alias("longitude"))
 
 
-#: Levels of schools and their kinds.
-LEVELS = {"PRIMARY": "primary", "SECONDARY": "secondary", "JUNIOR COLLEGE": "junior_college", "CENTRALISED INSTITUTE": "junior_college", "MIXED LEVELS": "mixed"}
+#: Levels of schools and their kinds; all others are secondary schools.
+SCHOOL_KINDS = {"PRIMARY": "Primary", "MIXED LEVEL (P1-S4)": "Primary", "JUNIOR COLLEGE": "Junior college", "CENTRALISED INSTITUTE": "Junior college"}
+SCHOOL_COLUMNS = ["school_name", "postal_code", "mainlevel_code"]
 
 
 def schools(csv: DataFrame, postal: DataFrame, source: str) -> DataFrame:
     """Schools placed by a (postal_code, latitude, longitude) table; unplaced ones have null coordinates."""
-    kinds = F.create_map(*[F.lit(v) for kv in LEVELS.items() for v in kv])
-    s = csv.select(proper_name(F.col("school_name")).alias("name"), F.try_element_at(kinds, F.upper(F.trim(F.regexp_replace("mainlevel_code", r" \(.*\)", "")))).alias("kind"), F.lpad(F.trim("postal_code"), 6, "0").alias("postal_code"))
+    missing, _ = schema_difference(csv, SCHOOL_COLUMNS)
+    if missing:
+        raise ValueError(f"missing columns: {', '.join(missing)}")
+    kinds = F.create_map(*[F.lit(v) for kv in SCHOOL_KINDS.items() for v in kv])
+    kind = F.coalesce(F.try_element_at(kinds, F.upper(F.trim("mainlevel_code"))), F.lit("Secondary"))
+    code = F.trim("postal_code")
+    s = csv.select(proper_name(F.col("school_name")).alias("name"), kind.alias("kind"), F.lpad(code, F.greatest(F.lit(6), F.length(code)), F.lit("0")).alias("postal_code"))
     return s.join(postal, "postal_code", "left").select(F.lit("school").alias("category"), "kind", "name", F.col("postal_code").alias("detail"), "latitude", "longitude", F.lit(source).alias("source"))
 
 
-def map_elements(spark: SparkSession, path: str, category: str, kind: str, source: str) -> DataFrame:
-    """Named elements of a map extract; areas have their position in ``center``."""
+def unplaced(places: DataFrame) -> DataFrame:
+    """One row: how many places have no position."""
+    return places.agg(F.count_if(F.col("latitude").isNull() | F.col("longitude").isNull()).alias("unplaced"))
+
+
+def malls(spark: SparkSession, path: str, source: str) -> DataFrame:
+    """Named malls of a map extract; areas have their position in ``center``."""
     doc = spark.read.schema("elements array<struct<lat: double, lon: double, center: struct<lat: double, lon: double>, tags: map<string,string>>>").json(path, multiLine=True)
     e = doc.select(F.explode("elements").alias("e"))
-    name = F.try_element_at("e.tags", F.lit("name"))
-    return e.where(name.isNotNull()).select(F.lit(category).alias("category"), F.lit(kind).alias("kind"), name.alias("name"), F.lit(None).cast("string").alias("detail"), F.coalesce("e.center.lat", "e.lat").alias("latitude"), F.coalesce("e.center.lon", "e.lon").alias("longitude"), F.lit(source).alias("source"))
+    name, la, lo = F.try_element_at("e.tags", F.lit("name")), F.coalesce("e.center.lat", "e.lat"), F.coalesce("e.center.lon", "e.lon")
+    return e.where((name != "") & la.isNotNull()).select(F.lit("mall").alias("category"), nothing().alias("kind"), F.trim(name).alias("name"), nothing().alias("detail"), la.alias("latitude"), lo.alias("longitude"), F.lit(source).alias("source"))
 
 
 def all_places(*tables: DataFrame) -> DataFrame:
@@ -143,7 +186,14 @@ def planning_areas(features: DataFrame) -> DataFrame:
     """(planning_area, region, central_area, type, coordinates); names from properties, else from an HTML description table."""
 
     def named(key: str) -> Column:
-        found = F.regexp_extract(F.coalesce(prop("Description"), F.lit("")), rf"<th>\s*{key}\s*</th>\s*<td>(.*?)</td>", 1)
-        return F.coalesce(prop(key), F.when(found != "", found))
+        cells = F.split(F.coalesce(prop("Description"), F.lit("")), f"<th>{key}</th>")
+        cell = F.substring_index(F.substring_index(F.get(cells, F.lit(1)), "</td>", 1), "<td>", -1)
+        return F.upper(F.coalesce(filled(prop(key)), filled(cell)))
+
+    areas = features.where("type in ('Polygon', 'MultiPolygon')").select(named("PLN_AREA_N").alias("planning_area"), named("REGION_N").alias("region"), F.coalesce(named("CA_IND") == "Y", F.lit(False)).alias("central_area"), "type", "coordinates")
+    return areas.where("planning_area is not null")
+
 
-    return features.where("type in ('Polygon', 'MultiPolygon')").select(named("PLN_AREA_N").alias("planning_area"), named("REGION_N").alias("region"), named("CA_IND").alias("central_area"), "type", "coordinates")
+def area_rings(areas: DataFrame) -> DataFrame:
+    """One row for each outer ring of the planning areas, as an array of [lon, lat]."""
+    return areas.withColumn("ring", F.explode(outer_rings())).drop("type", "coordinates")

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 LAYER = re.compile(r"(bronze|silver|gold)_[a-z0-9_]+")
 
@@ -49,7 +50,17 @@ def publish(tables: dict[str, tuple[DataFrame, list[str]]], folder: str) -> Data
     return manifest
 
 
+def _plain(x: Column, t: T.DataType) -> Column:
+    """The value with null in place of NaN and infinite numbers, inside structs, arrays and maps too."""
+    if isinstance(t, (T.DoubleType, T.FloatType)):
+        return F.when(~F.isnan(x) & (F.abs(x) != float("inf")), x)
+    if isinstance(t, T.StructType):
+        return F.when(x.isNotNull(), F.struct(*[_plain(x.getField(f.name), f.dataType).alias(f.name) for f in t]))
+    if isinstance(t, T.ArrayType):
+        return F.transform(x, lambda e: _plain(e, t.elementType))
+    return F.transform_values(x, lambda _, v: _plain(v, t.valueType)) if isinstance(t, T.MapType) else x
+
+
 def json_rows(df: DataFrame) -> DataFrame:
     """Rows as JSON text; NaN and infinite numbers become null."""
-    safe = [F.when(~F.isnan(c) & (F.abs(c) != float("inf")), F.col(c)).alias(c) if t in ("double", "float") else F.col(c) for c, t in df.dtypes]
-    return df.select(F.to_json(F.struct(*safe), {"ignoreNullFields": "false"}).alias("json"))
+    return df.select(F.to_json(F.struct(*[_plain(F.col(f.name), f.dataType).alias(f.name) for f in df.schema]), {"ignoreNullFields": "false"}).alias("json"))
