@@ -23,7 +23,17 @@ def rollup(df: DataFrame, *aggs: Column, fixed: list[str] | None = None, keys: l
 
 def group_stats() -> list[Column]:
     p = F.col("price")
-    return [F.count("*").alias("transactions"), median(p).alias("median_price"), F.avg(p).alias("mean_price"), F.percentile(p, F.lit(0.25)).alias("p25_price"), F.percentile(p, F.lit(0.75)).alias("p75_price"), median(F.col("psm")).alias("median_psm"), median(F.col("area")).alias("median_area")]
+    quartiles = F.percentile(p, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("_q")  # one table of values for all three
+    return [F.count("*").alias("transactions"), quartiles, F.avg(p).alias("mean_price"), median(F.col("psm")).alias("median_psm"), median(F.col("area")).alias("median_area")]
+
+
+def with_quartiles(df: DataFrame) -> DataFrame:
+    return df.withColumns({n: F.get("_q", F.lit(i)) for i, n in enumerate(("p25_price", "median_price", "p75_price"))}).drop("_q")
+
+
+def series_keys(sales: DataFrame) -> DataFrame:
+    """(town, flat_type) of every series, with those that are rolled up; from the distinct pairs, not from the rows."""
+    return rollup(sales.select(*KEYS).distinct(), F.count("*").alias("n"), fixed=[]).select(*KEYS)
 
 
 def pooled_median(sales: DataFrame, months: int = 3) -> DataFrame:
@@ -40,12 +50,11 @@ def market_monthly(sales: DataFrame, last_month, months: int = 3) -> DataFrame:
     """Statistics of every series on a gap-free month grid, with pooled medians, changes and rolling means."""
     last = F.lit(last_month).cast("date")
     sales = sales.where(F.col("month") <= last)
-    stats = rollup(sales, *group_stats())
+    stats = with_quartiles(rollup(sales, *group_stats()))
     pooled = pooled_median(sales, months).where(F.col("month") <= last)
-    both = stats.join(pooled, ["month", *KEYS], "full")
     span = sales.agg(F.min("month").alias("first"))
-    grid = both.select(*KEYS).distinct().join(F.broadcast(span)).select(*KEYS, month_grid(F.col("first"), last).alias("month"))
-    full = grid.join(both, ["month", *KEYS], "left").fillna(0, ["transactions", "pooled_count"])
+    grid = series_keys(sales.where("month is not null")).join(F.broadcast(span)).select(*KEYS, month_grid(F.col("first"), last).alias("month"))
+    full = grid.join(stats, ["month", *KEYS], "left").join(pooled, ["month", *KEYS], "left").fillna(0, ["transactions", "pooled_count"])
     w = Window.partitionBy(*KEYS).orderBy("month")
     price, pool = F.col("median_price"), F.col("pooled_median")
 
@@ -69,9 +78,12 @@ def summary_windows(last: Column, month: Column) -> dict[str, Column]:
 
 
 def town_summary(sales: DataFrame, last_month, m: Market = Market()) -> DataFrame:
-    """Median and count of six windows for every series, and the changes between them that enough sales back, in one pass."""
-    windows = summary_windows(F.lit(last_month).cast("date"), F.col("month"))
+    """Median and count of six windows for every series, the median per area of two, and the changes between windows that
+    enough sales back, in one pass."""
+    last = F.lit(last_month).cast("date")
+    windows = summary_windows(last, F.col("month"))
     aggs = [a for n, w in windows.items() for a in (median(F.when(w, F.col("price"))).alias(f"median_{n}"), F.count_if(w).alias(f"sales_{n}"))]
+    aggs += [median(F.when(windows[n], F.col("psm"))).alias(f"median_psm_{n}") for n in ("12m", "3m")]
     any_ = F.lit(False)
     for w in windows.values():
         any_ = any_ | w
@@ -80,7 +92,7 @@ def town_summary(sales: DataFrame, last_month, m: Market = Market()) -> DataFram
     def pct(a: str, b: str) -> Column:
         return F.when((F.col(f"sales_{a}") >= m.min_sales) & (F.col(f"sales_{b}") >= m.min_sales), change_pct(F.col(f"median_{a}"), F.col(f"median_{b}"), 4))
 
-    return out.withColumns({"yoy_pct": pct("12m", "prev12m"), "yoy_3m_pct": pct("3m", "3m_year_ago"), "momentum_pct": pct("3m", "prev3m"), "five_year_pct": pct("12m", "5y_ago")})
+    return out.withColumns({"yoy_pct": pct("12m", "prev12m"), "yoy_3m_pct": pct("3m", "3m_year_ago"), "momentum_pct": pct("3m", "prev3m"), "five_year_pct": pct("12m", "5y_ago"), "as_of_month": last})
 
 
 def market_index(sales: DataFrame, last_month, months: int = 3) -> DataFrame:
@@ -122,14 +134,15 @@ def facet_catalogue(sales: DataFrame) -> DataFrame:
 
 
 def kpis(sales: DataFrame, last_month, m: Market = Market()) -> DataFrame:
-    """One row: medians of the last three months, the three before and a year ago, yearly counts and gated changes."""
+    """One row: medians of the last three months, the three before and a year ago, counts, and changes that enough sales back."""
     windows = summary_windows(F.lit(last_month).cast("date"), F.col("month"))
-    aggs = []
-    for n in ("3m", "prev3m", "3m_year_ago"):
-        aggs += [F.when(F.count_if(windows[n]) >= m.min_sales, median(F.when(windows[n], F.col("price")))).alias(f"median_{n}")]
-    aggs += [F.count_if(windows[n]).alias(f"sales_{n}") for n in ("12m", "prev12m")]
-    one = sales.agg(*aggs)
-    return one.withColumns({"quarter_pct": change_pct(F.col("median_3m"), F.col("median_prev3m"), 4), "year_pct": change_pct(F.col("median_3m"), F.col("median_3m_year_ago"), 4), "volume_pct": change_pct(F.col("sales_12m"), F.col("sales_prev12m"), 4)})
+    three = ("3m", "prev3m", "3m_year_ago")
+    one = sales.agg(
+        *[median(F.when(windows[n], F.col("price"))).alias(f"median_{n}") for n in three], median(F.when(windows["3m"], F.col("psm"))).alias("median_psm"),
+        *[F.count_if(windows[n]).alias(f"sales_{n}") for n in (*three, "12m", "prev12m")],
+    )
+    gated = lambda n: F.when((F.col("sales_3m") >= m.min_sales) & (F.col(f"sales_{n}") >= m.min_sales), change_pct(F.col("median_3m"), F.col(f"median_{n}"), 4))
+    return one.withColumns({"quarter_pct": gated("prev3m"), "year_pct": gated("3m_year_ago"), "volume_pct": change_pct(F.col("sales_12m"), F.col("sales_prev12m"), 4)})
 
 
 def year_to_date(sales: DataFrame, last_month) -> DataFrame:

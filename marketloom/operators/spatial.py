@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from marketloom.config import Walk
-from marketloom.functions.numbers import to_metres, walk_minutes
+from marketloom.functions.numbers import to_metres
 from marketloom.sources.scratch import stored
 
 
@@ -37,24 +40,27 @@ def count_within(left: DataFrame, right: DataFrame, radius: float, left_id: str,
     return left.select(left_id).join(hits, left_id, "left").fillna(0, [name])
 
 
-def nearest(left: DataFrame, right: DataFrame, left_id: str, right_id: str, radius: float = 1000.0, most_rounds: int = 12, by: str | None = None) -> DataFrame:
+def nearest(left: DataFrame, right: DataFrame, left_id: str, right_id: str, radius: float = 1000.0, by: str | None = None) -> DataFrame:
     """(left_id, right_id, metres) of the nearest right point (with ``by``: of the same kind), ties to the smaller right id.
 
-    The radius doubles until every left point has a neighbour within it, which proves the nearest; points so far from
-    all others that ``most_rounds`` do not reach them are left out.
+    The radius doubles until every left point has a neighbour within it, which proves the nearest, or until it spans all
+    points; only left points for which the right side has none (of their kind) are left out.
     """
     key = [left_id, *([by] if by else [])]
-    found, open_ = None, left.where("x_m is not null and y_m is not null").select(*key, "x_m", "y_m")
-    for _ in range(most_rounds):
+    points = [df.where("x_m is not null and y_m is not null") for df in (left, right)]
+    span = points[0].select("x_m", "y_m").unionByName(points[1].select("x_m", "y_m")).agg(*[(F.max(c) - F.min(c)).alias(c) for c in ("x_m", "y_m")]).first()
+    most = math.hypot(*(v or 0.0 for v in span)) + 1.0
+    found, open_ = None, points[0].select(*key, "x_m", "y_m")
+    if by:
+        open_ = open_.join(points[1].select(by).distinct(), by, "left_semi")
+    while True:
         best = within(open_, right, radius, left_id, right_id, by).groupBy(*key).agg(F.min(F.struct("metres", right_id)).alias("best"))
-        got = best.select(*key, F.col(f"best.{right_id}").alias(right_id), "best.metres")
-        got = stored(got)
+        got = stored(best.select(*key, F.col(f"best.{right_id}").alias(right_id), "best.metres"))
         found = got if found is None else found.unionByName(got)
         open_ = stored(open_.join(got.select(*key), key, "left_anti"))
-        if open_.isEmpty():
-            break
+        if radius >= most or open_.isEmpty():
+            return found
         radius *= 2
-    return found
 
 
 def nearest_of_kinds(left: DataFrame, places: DataFrame, left_id: str, place_id: str, kind: str, radius: float = 1000.0) -> DataFrame:
@@ -66,37 +72,59 @@ def nearest_of_kinds(left: DataFrame, places: DataFrame, left_id: str, place_id:
     return nearest(each, places, left_id, place_id, radius, by=kind)
 
 
-def top_within(left: DataFrame, right: DataFrame, radius: float, k: int, left_id: str, right_id: str) -> DataFrame:
-    """The k nearest within the radius, by rank."""
-    best = within(left, right, radius, left_id, right_id).groupBy(left_id).agg(F.slice(F.array_sort(F.collect_list(F.struct("metres", right_id))), 1, k).alias("b"))
-    return best.select(left_id, F.posexplode("b").alias("rank", "p")).select(left_id, (F.col("rank") + 1).alias("rank"), f"p.{right_id}", "p.metres")
+def top_within(left: DataFrame, right: DataFrame, radius: float, k: int, left_id: str, right_id: str, by: str | None = None) -> DataFrame:
+    """The k nearest within the radius (of each ``by``), by rank. The k best are kept before the shuffle, so that no list of neighbours is built."""
+    also = [by] if by else []
+    order = Window.partitionBy(left_id, *also).orderBy("metres", right_id)
+    return within(left, right, radius, left_id, right_id, by).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(left_id, *also, "rank", right_id, "metres")
 
 
-def lines_within(left: DataFrame, lines: DataFrame, radius: float, left_id: str, line_id: str, step: float = 25.0) -> DataFrame:
-    """Distinct (left_id, line_id, metres) of lines (array of [x, y] in metres) that pass within the radius, densified to ``step`` metres."""
+def line_points(lines: DataFrame, line_id: str, step: float = 25.0) -> DataFrame:
+    """(line_id, x_m, y_m): points of lines (arrays of [x, y] in metres) at most ``step`` apart."""
     segs = lines.select(line_id, F.explode(F.arrays_zip(F.slice("points", F.lit(1), F.size("points") - 1).alias("p"), F.slice("points", F.lit(2), F.size("points") - 1).alias("q"))).alias("s"))
     p, q = F.col("s").getField("p"), F.col("s").getField("q")
     length = F.sqrt((q[0] - p[0]) ** 2 + (q[1] - p[1]) ** 2)
-    dense = segs.withColumn("n", F.greatest(F.lit(1), F.ceil(length / step)).cast("int")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("n"))))
+    dense = segs.withColumn("n", F.greatest(F.lit(1), F.floor(length / step)).cast("int")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("n"))))
     t = F.col("i") / F.col("n")
-    pts = dense.select(line_id, (p[0] + (q[0] - p[0]) * t).alias("x_m"), (p[1] + (q[1] - p[1]) * t).alias("y_m")).distinct()
-    return within(left, pts, radius, left_id, line_id).groupBy(left_id, line_id).agg(F.min("metres").alias("metres"))
+    return dense.select(line_id, (p[0] + (q[0] - p[0]) * t).alias("x_m"), (p[1] + (q[1] - p[1]) * t).alias("y_m")).distinct()
+
+
+def nearest_line(left: DataFrame, lines: DataFrame, left_id: str, line_id: str, step: float = 25.0) -> DataFrame:
+    """(left_id, line_id, metres): the line with the nearest point, however far."""
+    return nearest(left, line_points(lines, line_id, step), left_id, line_id)
 
 
-def block_features(blocks: DataFrame, places: DataFrame, block_id: str, place_id: str, kind: str, walk: Walk = Walk(), bus_kind=None, school_kind=None) -> DataFrame:
-    """One row per block: metres to the nearest place of each kind, walk minutes, counts within fixed radii, city distance."""
-    near = nearest_of_kinds(blocks, places, block_id, place_id, kind)
-    wide = near.groupBy(block_id).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct(F.col(kind).cast("string"), F.bround("metres", 3))))).alias("nearest_m"), F.min(walk_minutes(F.col("metres"), walk)).alias("shortest_walk"))
+def lines_within(left: DataFrame, lines: DataFrame, radius: float, left_id: str, line_id: str, step: float = 25.0) -> DataFrame:
+    """(left_id, line_id, metres) of lines that pass within the radius."""
+    return within(left, line_points(lines, line_id, step), radius, left_id, line_id).groupBy(left_id, line_id).agg(F.min("metres").alias("metres"))
+
+
+def block_features(blocks: DataFrame, places: DataFrame, lines: DataFrame | None, block_id: str, groups: dict[str, Column], counts: dict[str, tuple[str, float]], walk: Walk = Walk()) -> DataFrame:
+    """One row per block: for each group (name -> which places belong to it) the metres to, name and kind of its nearest place,
+    for each count (column -> group, radius) the number within, metres to and name of the nearest line, km to the city.
+
+    places: place, kind, name, x_m, y_m; lines: line, name, points. Groups without a place, and lines if there are none,
+    give null columns, so that a missing source stops nothing.
+    """
+    dealt = places.withColumn("group", F.explode(F.array_compact(F.array(*[F.when(inside, F.lit(g)) for g, inside in groups.items()]))))
+    # the nearest place's own columns are joined once, long, before the groups become columns
+    near = nearest_of_kinds(blocks, dealt, block_id, "place", "group").join(places.select("place", "name", "kind"), "place")
+    one = lambda g, c: F.max(F.when(F.col("group") == g, F.col(c)))
+    wide = near.groupBy(block_id).agg(*[x for g in groups for x in (F.bround(one(g, "metres")).alias(f"{g}_m"), one(g, "name").alias(f"{g}_name"), one(g, "kind").alias(f"{g}_kind"))])
     cx, cy = to_metres(F.lit(walk.city[0]), F.lit(walk.city[1]))
-    out = blocks.withColumn("city_km", F.bround(F.sqrt((F.col("x_m") - cx) ** 2 + (F.col("y_m") - cy) ** 2) / 1000, 3)).join(wide, block_id, "left")
-    for name, k, r in (("bus_stops", bus_kind, walk.bus_radius), ("schools", school_kind, walk.school_radius)):
-        if k is not None:
-            out = out.join(count_within(blocks, places.where(F.col(kind) == k), r, block_id, place_id, name), block_id, "left")
-    return out
+    out = blocks.withColumn("city_km", F.bround(F.sqrt((F.col("x_m") - cx) ** 2 + (F.col("y_m") - cy) ** 2) / 1000, 2)).join(wide, block_id, "left")
+    for column, (g, radius) in counts.items():
+        some = dealt.where(F.col("group") == g)
+        n = count_within(blocks, some, radius, block_id, "place", column)
+        out = out.join(n, block_id, "left").withColumn(column, F.when(F.col(f"{g}_m").isNotNull(), F.col(column)))
+    if lines is None:
+        return out.withColumns({"line_m": F.lit(None).cast("double"), "line_name": F.lit(None).cast("string")})
+    line = nearest_line(blocks, lines, block_id, "line").join(lines.select("line", F.col("name").alias("line_name")), "line")
+    return out.join(line.select(block_id, F.bround("metres").alias("line_m"), "line_name"), block_id, "left")
 
 
 def simplify_lines(lines: DataFrame, tolerance: float, points: str = "points", closed: bool = False) -> DataFrame:
-    """Douglas-Peucker on every row's array of [x, y]; closed rings are cut at the vertex farthest from the first."""
+    """Douglas-Peucker on every row's array of [x, y]; closed rings are cut at the vertex farthest from the first, and end where they begin."""
     def keep(xy, tol):
         mark, stack = np.zeros(len(xy), bool), [(0, len(xy) - 1)]
         mark[[0, -1]] = True
@@ -121,8 +149,11 @@ def simplify_lines(lines: DataFrame, tolerance: float, points: str = "points", c
             xy = np.array([list(p) for p in line], float)
             if not closed:
                 return keep(xy, tolerance).tolist()
+            if len(xy) < 5:
+                return xy.tolist()
+            xy = xy[:-1] if (xy[0] == xy[-1]).all() else xy
             far = int(np.hypot(*(xy - xy[0]).T).argmax())
-            return np.concatenate([keep(xy[: far + 1], tolerance)[:-1], keep(np.concatenate([xy[far:], xy[:1]]), tolerance)[:-1]]).tolist()
+            return np.concatenate([keep(xy[: far + 1], tolerance)[:-1], keep(np.concatenate([xy[far:], xy[:1]]), tolerance)]).tolist()
 
         return col.map(one)
 
