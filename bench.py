@@ -9,7 +9,7 @@ import time
 
 from pyspark.sql import SparkSession
 
-from marketloom.plans.queries import QUERIES
+from marketloom.plans import QUERIES
 
 HEADLINE = ("market_monthly", "pooled_median", "town_summary", "market_index", "clean_flags", "price_outliers", "town_ranking", "price_histogram", "max_price", "rank_towns", "nearest_place", "nearest_by_kind", "comparable_sales", "typical_flat", "scorecard", "rule_of_thumb")
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marketloom.functions.numbers import to_metres
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -22,7 +24,7 @@ def sales(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.select(
         month.alias("month"), F.col("n_name").alias("town"), F.col("p_type").alias("flat_type"), F.col("p_brand").alias("flat_model"), F.col("l_quantity").alias("area"), F.col("p_size").cast("double").alias("storey_mid"),
         (1960 + F.col("l_partkey") % 35).alias("lease_year"), F.col("l_extendedprice").alias("price"), (F.col("l_extendedprice") / F.col("l_quantity")).alias("psm"), F.col("o_custkey").alias("block"), F.col("c_mktsegment").alias("street"),
-        ((F.year(month) - 1995) * 12 + F.month(month) - 1).cast("double").alias("months_since_start"), (F.col("l_orderkey") * 1000 + F.col("l_linenumber") * 100 + F.col("l_partkey") % 100).alias("sale_id"),
+        ((F.year(month) - 1995) * 12 + F.month(month) - 1).cast("double").alias("months_since_start"), F.concat_ws("-", *(F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"))).alias("sale_id"),
     )
 
 
@@ -54,3 +56,43 @@ def raw_records(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(k == 7, "0").when(k == 8, "900").otherwise((F.col("l_quantity").cast("int") + 20).cast("string")).alias("floor_area_sqm"), F.col("p_brand").alias("flat_model"), (1960 + F.col("l_partkey") % 35).cast("string").alias("lease_commence_date"),
         lease.alias("remaining_lease"), F.when(k == 9, "0").when(k == 10, "n/a").otherwise(F.col("l_extendedprice").cast("int").cast("string")).alias("resale_price"),
     )
+
+
+#: Category and kind of a supplier as a place, by its key modulo 8.
+PLACE_TYPES = (("train", "MRT"), ("bus", None), ("school", "Primary"), ("mall", None), ("hawker", None), ("park", None), ("train", "LRT"), ("school", "Secondary"))
+
+
+def typed_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers as places of several categories, named by every third one's neighbour, so that names repeat."""
+    la, lo = _place("s_suppkey")
+    types = F.array(*[F.struct(F.lit(c).alias("category"), F.lit(k).cast("string").alias("kind")) for c, k in PLACE_TYPES])
+    t = F.get(types, (F.col("s_suppkey") % 8).cast("int"))
+    name = F.concat(F.lit("Place "), F.floor(F.col("s_suppkey") / 24).cast("string"))
+    return table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("place"), t["category"].alias("category"), t["kind"].alias("kind"), name.alias("name"), la.alias("latitude"), lo.alias("longitude"))
+
+
+def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations as straight lines between two points, in metres."""
+    def at(k):
+        la, lo = 1.25 + (k * 7919 % 10007) / 10007 * 0.2, 103.65 + (k * 104729 % 10009) / 10009 * 0.35
+        return F.array(*to_metres(la, lo))
+
+    k = F.col("n_nationkey")
+    return table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("line"), F.col("n_name").alias("name"), F.array(at(k * 37 + 5), at(k * 101 + 11)).alias("points"))
+
+
+def addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as addresses: 37 streets that run through several towns, block numbers that repeat in every street."""
+    c = F.col("c_custkey")
+    street = F.concat(F.substring("c_mktsegment", 1, 4), F.lit(" "), F.element_at(F.array(*[F.lit(x) for x in STREET_WORDS]), (c % 7 + 1).cast("int")), F.lit(" ST"))
+    return table(spark, sf_dir, "customer").select((c % 5).cast("string").alias("town"), (F.floor(c / 5) % 400).cast("string").alias("block"), street.alias("street_name"))
+
+
+STREET_WORDS = ("NTH", "STH", "AVE", "RISE", "BT", "UPP", "LOOP")
+
+
+def outlines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers and parts as building outlines: every block number under several codes, one in eight missing."""
+    k = F.col("p_partkey")
+    code = F.concat(F.element_at(F.array(*[F.lit(x) for x in ("BU", "MA", "AU", "FU", "HO")]), (k % 5 + 1).cast("int")), F.element_at(F.array(*[F.lit(x) for x in ("N", "S", "A", "R", "U", "L", "X")]), (k % 7 + 1).cast("int")), (k % 2).cast("string"))
+    return table(spark, sf_dir, "part").where(k % 8 != 3).select((F.floor(k / 5) % 400).cast("string").alias("block"), code.alias("street_code"), (1.25 + k % 5 * 0.03 + (k * 7919 % 10007) / 10007 * 0.02).alias("latitude"), (103.65 + k % 5 * 0.05 + (k * 104729 % 10009) / 10009 * 0.02).alias("longitude"))

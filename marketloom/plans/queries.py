@@ -5,25 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketloom.config import Loan
+from marketloom.config import Loan, Quality
 from marketloom.functions import numbers
-from marketloom.operators import affordability, clean, comparables, forecast, market, matching, pricing, spatial
+from marketloom.operators import affordability, clean, comparables, forecast, market, pricing, spatial
 from marketloom.plans import adapter as a
+from marketloom.sources.scratch import stored
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
+#: The SQL without its CTEs, for reports that are put together from several queries.
+BODIES: dict[str, str] = {}
 EVENT = "1999-06-01"
 
 #: CTEs that the SQL below shares.
 SALES = """sales AS (SELECT date_trunc('month', l_shipdate)::DATE AS month, n_name AS town, p_type AS flat_type, p_brand AS flat_model, l_quantity AS area, p_size::DOUBLE AS storey_mid,
- 1960 + l_partkey % 35 AS lease_year, l_extendedprice AS price, l_extendedprice / l_quantity AS psm, o_custkey AS block, c_mktsegment AS street, l_orderkey * 1000 + l_linenumber * 100 + l_partkey % 100 AS sale_id
+ 1960 + l_partkey % 35 AS lease_year, l_extendedprice AS price, l_extendedprice / l_quantity AS psm, o_custkey AS block, c_mktsegment AS street, concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS sale_id
  FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN part ON l_partkey = p_partkey),
 ends AS (SELECT (date_trunc('month', max(l_shipdate)) - INTERVAL 1 MONTH)::DATE AS last FROM lineitem)"""
 LABELS = "CASE WHEN grouping(town) = 1 THEN 'ALL' ELSE town END AS town, CASE WHEN grouping(flat_type) = 1 THEN 'ALL' ELSE flat_type END AS flat_type"
 SETS = "GROUPING SETS ((month, town, flat_type), (month, town), (month, flat_type), (month))"
 PLACES = """blocks AS (SELECT c_custkey AS block, 1.25::DOUBLE + (c_custkey * 7919 % 10007) / 10007.0::DOUBLE * 0.2::DOUBLE AS la, 103.65::DOUBLE + (c_custkey * 104729 % 10009) / 10009.0::DOUBLE * 0.35::DOUBLE AS lo FROM customer),
 places AS (SELECT s_suppkey AS place, (s_suppkey % 6)::INT AS kind, 1.25::DOUBLE + (s_suppkey * 7919 % 10007) / 10007.0::DOUBLE * 0.2::DOUBLE AS la, 103.65::DOUBLE + (s_suppkey * 104729 % 10009) / 10009.0::DOUBLE * 0.35::DOUBLE AS lo FROM supplier),
-apart AS (SELECT block, place, kind, sqrt(((b.lo - 103.8198::DOUBLE) * 111289.00473113023::DOUBLE - (p.lo - 103.8198::DOUBLE) * 111289.00473113023::DOUBLE) ** 2 + ((b.la - 1.3521::DOUBLE) * 111320.0::DOUBLE - (p.la - 1.3521::DOUBLE) * 111320.0::DOUBLE) ** 2) AS metres FROM blocks b, places p)"""
+apart AS (SELECT block, place, kind, sqrt(((b.lo - 103.8198::DOUBLE) * 111289.00473113023::DOUBLE - (p.lo - 103.8198::DOUBLE) * 111289.00473113023::DOUBLE) ** 2 + ((b.la - 1.3521::DOUBLE) * 110574.0::DOUBLE - (p.la - 1.3521::DOUBLE) * 110574.0::DOUBLE) ** 2) AS metres FROM blocks b, places p)"""
 MONTHLY = f"""base AS (SELECT sales.* FROM sales, ends WHERE month <= last),
 stats AS (SELECT month, {LABELS}, count(*) AS transactions, quantile_cont(price, 0.5) AS median_price, quantile_cont(price, 0.25) AS p25_price, quantile_cont(price, 0.75) AS p75_price, avg(price) AS mean_price, quantile_cont(psm, 0.5) AS median_psm, quantile_cont(area, 0.5) AS median_area FROM base GROUP BY {SETS}),
 ahead AS (SELECT (month + to_months(i::INT))::DATE AS month, town, flat_type, price FROM base, unnest(range(3)) u(i)),
@@ -38,6 +41,7 @@ def query(sql: str | None = None, ctes: tuple[str, ...] = (SALES,)):
     def add(f):
         QUERIES[f.__name__] = f
         if sql is not None:
+            BODIES[f.__name__] = sql
             ORACLES[f.__name__] = (f"WITH {', '.join(ctes)} " if ctes else "") + sql
         return f
 
@@ -79,8 +83,11 @@ def _pct(x: str, y: str, name: str) -> str:
     return f'CASE WHEN "sales_{x}" >= 5 AND "sales_{y}" >= 5 THEN round_even(("median_{x}" / "median_{y}" - 1) * 100, 4) END AS {name}'
 
 
-@query(f"""SELECT town, flat_type, {', '.join(f'round("median_{n}", 4) AS "median_{n}", "sales_{n}"' for n in _W)}, {_pct('12m', 'prev12m', 'yoy_pct')}, {_pct('3m', '3m_year_ago', 'yoy_3m_pct')}, {_pct('3m', 'prev3m', 'momentum_pct')}, {_pct('12m', '5y_ago', 'five_year_pct')}
- FROM (SELECT {LABELS}, {', '.join(f'quantile_cont(price, 0.5) FILTER (WHERE {w}) AS "median_{n}", count(*) FILTER (WHERE {w}) AS "sales_{n}"' for n, w in _IN.items())} FROM sales, ends WHERE {' OR '.join(_IN.values())} GROUP BY GROUPING SETS ((town, flat_type), (town), (flat_type), ()))""")
+SUMMARY = f"""summary AS (SELECT town, flat_type, {', '.join(f'floor("median_{n}" * 1e4 + 0.50001) / 1e4 AS "median_{n}", "sales_{n}"' for n in _W)}, floor("median_psm_12m" * 1e4 + 0.50001) / 1e4 AS "median_psm_12m", floor("median_psm_3m" * 1e4 + 0.50001) / 1e4 AS "median_psm_3m", {_pct('12m', 'prev12m', 'yoy_pct')}, {_pct('3m', '3m_year_ago', 'yoy_3m_pct')}, {_pct('3m', 'prev3m', 'momentum_pct')}, {_pct('12m', '5y_ago', 'five_year_pct')}, (SELECT last FROM ends) AS as_of_month
+ FROM (SELECT {LABELS}, {', '.join(f'quantile_cont(price, 0.5) FILTER (WHERE {w}) AS "median_{n}", count(*) FILTER (WHERE {w}) AS "sales_{n}"' for n, w in _IN.items())}, {', '.join(f'quantile_cont(psm, 0.5) FILTER (WHERE {_IN[n]}) AS "median_psm_{n}"' for n in ('12m', '3m'))} FROM sales, ends WHERE {' OR '.join(_IN.values())} GROUP BY GROUPING SETS ((town, flat_type), (town), (flat_type), ())))"""
+
+
+@query("SELECT * FROM summary", (SALES, SUMMARY))
 def town_summary(spark: SparkSession, d: str) -> DataFrame:
     return rounded(market.town_summary(a.sales(spark, d), a.last_month(spark, d)))
 
@@ -146,18 +153,24 @@ def duplicates(spark: SparkSession, d: str) -> DataFrame:
     return df.groupBy("l_returnflag").agg(F.count("*").alias("rows"), F.count_if("is_duplicate").alias("duplicates"))
 
 
-@query("""SELECT town, flat_type, count(*) AS sales, count(*) FILTER (WHERE abs(z) > 1.2 AND sales >= 30) AS outliers, round(sum(z), 4) AS z FROM (SELECT town, flat_type, count(*) OVER p AS sales, CASE WHEN mad > 0 THEN 0.6745 * (psm - m) / mad ELSE 0 END AS z FROM sales
- JOIN (SELECT town, flat_type, quantile_cont(psm, 0.5) AS m FROM sales GROUP BY ALL) USING (town, flat_type) JOIN (SELECT town, flat_type, quantile_cont(abs(psm - m), 0.5) AS mad FROM sales JOIN (SELECT town, flat_type, quantile_cont(psm, 0.5) AS m FROM sales GROUP BY ALL) USING (town, flat_type) GROUP BY ALL) USING (town, flat_type) WINDOW p AS (PARTITION BY town, flat_type)) GROUP BY town, flat_type""")
+@query("""SELECT town, flat_type, year, count(*) AS sales, count(*) FILTER (WHERE abs(z) > 2.5 AND n >= 30) AS outliers FROM (SELECT town, flat_type, year, n, CASE WHEN mad > 0 THEN 0.6745 * (x - m) / mad ELSE 0 END AS z FROM logs JOIN mids USING (town, flat_type, year) JOIN mads USING (town, flat_type, year)) GROUP BY ALL""",
+       (RAW, "logs AS (SELECT town, flat_type, year(month)::BIGINT AS year, ln(round_even(price / area, 2)) AS x FROM flagged WHERE len(reasons) = 0)", "mids AS (SELECT town, flat_type, year, quantile_cont(x, 0.5) AS m, count(*) AS n FROM logs GROUP BY ALL)", "mads AS (SELECT town, flat_type, year, quantile_cont(abs(x - m), 0.5) AS mad FROM logs JOIN mids USING (town, flat_type, year) GROUP BY ALL)"))
 def price_outliers(spark: SparkSession, d: str) -> DataFrame:
-    from marketloom.config import Quality
+    """Valid records by the log of their price per area, within town, type and year; the bound is lowered, since these data have no outlier beyond 5."""
+    flagged = clean.flag_outliers(cleaned(spark, d), Quality(outlier_z=2.5)).where("is_valid")
+    return flagged.groupBy("town", "flat_type", F.col("year").cast("long").alias("year")).agg(F.count("*").alias("sales"), F.count_if("is_price_outlier").alias("outliers"))
 
-    z = clean.robust_z(a.sales(spark, d), "psm", ["town", "flat_type"], Quality(outlier_z=1.2))
-    return z.groupBy("town", "flat_type").agg(F.count("*").alias("sales"), F.count_if("is_outlier").alias("outliers"), F.round(F.sum("robust_z"), 4).alias("z"))
 
+def kpis_sql(source: str) -> str:
+    """Counts and medians of a filtered table of sales."""
+    names = ("3m", "prev3m", "3m_year_ago")
+    gated = lambda n, name: f"""CASE WHEN "sales_3m" >= 5 AND "sales_{n}" >= 5 THEN round_even(("median_3m" / "median_{n}" - 1) * 100, 4) END AS {name}"""
+    return f"""SELECT {', '.join(f'round("median_{n}", 4) AS "median_{n}"' for n in names)}, round(median_psm, 4) AS median_psm, {', '.join(f'"sales_{n}"' for n in (*names, '12m', 'prev12m'))},
+ {gated('prev3m', 'quarter_pct')}, {gated('3m_year_ago', 'year_pct')}, CASE WHEN "sales_prev12m" > 0 THEN round_even(("sales_12m" / "sales_prev12m" - 1) * 100, 4) END AS volume_pct
+ FROM (SELECT {', '.join(f'quantile_cont(price, 0.5) FILTER (WHERE {_IN[n]}) AS "median_{n}"' for n in names)}, quantile_cont(psm, 0.5) FILTER (WHERE {_IN['3m']}) AS median_psm, {', '.join(f'count(*) FILTER (WHERE {_IN[n]}) AS "sales_{n}"' for n in (*names, '12m', 'prev12m'))} FROM {source}, ends)"""
 
-@query(f"""SELECT CASE WHEN n1 >= 5 THEN round(m1, 4) END AS median_3m, CASE WHEN n2 >= 5 THEN round(m2, 4) END AS median_prev3m, CASE WHEN n3 >= 5 THEN round(m3, 4) END AS median_3m_year_ago, n4 AS sales_12m, n5 AS sales_prev12m,
- CASE WHEN n1 >= 5 AND n2 >= 5 THEN round_even((m1 / m2 - 1) * 100, 4) END AS quarter_pct, CASE WHEN n1 >= 5 AND n3 >= 5 THEN round_even((m1 / m3 - 1) * 100, 4) END AS year_pct, round_even((n4 / n5 - 1) * 100, 4) AS volume_pct
- FROM (SELECT {', '.join(f'quantile_cont(price, 0.5) FILTER (WHERE {_IN[n]}) AS m{i}, count(*) FILTER (WHERE {_IN[n]}) AS n{i}' for i, n in ((1, '3m'), (2, 'prev3m'), (3, '3m_year_ago'), (4, '12m'), (5, 'prev12m')))} FROM sales, ends WHERE town = 'NATION_3')""")
+
+@query(kpis_sql("(SELECT * FROM sales WHERE town = 'NATION_3')"))
 def market_kpis(spark: SparkSession, d: str) -> DataFrame:
     return rounded(market.kpis(market.facets(a.sales(spark, d), town="NATION_3", flat_type="ALL"), a.last_month(spark, d)))
 
@@ -187,18 +200,28 @@ def town_ranking(spark: SparkSession, d: str) -> DataFrame:
     return rounded(market.town_ranking(a.sales(spark, d), a.last_month(spark, d)))
 
 
-@query("(SELECT 'dear' AS side, town, round(median_price, 4) AS median_price FROM ranking ORDER BY ranking.median_price DESC, town LIMIT 5) UNION ALL (SELECT 'cheap' AS side, town, round(median_price, 4) AS median_price FROM ranking ORDER BY ranking.median_price, town LIMIT 5)", (SALES, RANKING))
+REFERENCE_TYPE = "PROMO"
+
+
+def ends_of(df: DataFrame, value: str, n: int, high: str, low: str, digits: int = 4) -> DataFrame:
+    """The n greatest and the n smallest, ties by town."""
+    sides = [df.orderBy(o, "town").limit(n).select(F.lit(side).alias("side"), "town", F.round(value, digits).alias(value)) for side, o in ((high, F.desc(value)), (low, F.asc(value)))]
+    return sides[0].unionByName(sides[1])
+
+
+def _ends_sql(value: str, n: int, high: str, low: str, where: str) -> str:
+    return " UNION ALL ".join(f"""(SELECT '{side}' AS side, town, "{value}" FROM summary WHERE {where} ORDER BY "{value}" {order}, town LIMIT {n})""" for side, order in ((high, "DESC"), (low, "ASC")))
+
+
+@query(_ends_sql("median_12m", 5, "dear", "cheap", f"""town <> 'ALL' AND flat_type = '{REFERENCE_TYPE}' AND "sales_12m" >= 50"""), (SALES, SUMMARY))
 def top_towns(spark: SparkSession, d: str) -> DataFrame:
-    r = market.town_ranking(a.sales(spark, d), a.last_month(spark, d)).select("town", "median_price")
-    ends = [r.orderBy(o, "town").limit(5).select(F.lit(n).alias("side"), "town", F.round("median_price", 4).alias("median_price")) for n, o in (("dear", F.desc("median_price")), ("cheap", F.asc("median_price")))]
-    return ends[0].unionByName(ends[1])
+    """Dearest and cheapest towns of one type, so that like is compared with like; with 50 sales at least."""
+    return ends_of(town_summary(spark, d).where((F.col("town") != "ALL") & (F.col("flat_type") == REFERENCE_TYPE) & (F.col("sales_12m") >= 50)), "median_12m", 5, "dear", "cheap")
 
 
-@query("(SELECT 'up' AS side, town, yoy_pct FROM ranking WHERE yoy_pct IS NOT NULL ORDER BY yoy_pct DESC, town LIMIT 3) UNION ALL (SELECT 'down' AS side, town, yoy_pct FROM ranking WHERE yoy_pct IS NOT NULL ORDER BY yoy_pct, town LIMIT 3)", (SALES, RANKING))
+@query(_ends_sql("yoy_pct", 3, "up", "down", """town <> 'ALL' AND flat_type = 'ALL' AND "sales_12m" >= 100 AND yoy_pct IS NOT NULL"""), (SALES, SUMMARY))
 def movers(spark: SparkSession, d: str) -> DataFrame:
-    r = market.town_ranking(a.sales(spark, d), a.last_month(spark, d)).where("yoy_pct is not null").select("town", "yoy_pct")
-    ends = [r.orderBy(o, "town").limit(3).select(F.lit(n).alias("side"), "town", "yoy_pct") for n, o in (("up", F.desc("yoy_pct")), ("down", F.asc("yoy_pct")))]
-    return ends[0].unionByName(ends[1])
+    return ends_of(town_summary(spark, d).where("town <> 'ALL' and flat_type = 'ALL' and sales_12m >= 100 and yoy_pct is not null"), "yoy_pct", 3, "up", "down")
 
 
 _EV = {"before": f"month >= DATE '{EVENT}' - to_months(12) AND month < DATE '{EVENT}'", "after": f"month >= DATE '{EVENT}' AND month < DATE '{EVENT}' + to_months(12) AND month <= last", "earlier": f"month >= DATE '{EVENT}' - to_months(24) AND month < DATE '{EVENT}' - to_months(12)"}
@@ -341,35 +364,11 @@ def nearest_by_kind(spark: SparkSession, d: str) -> DataFrame:
     return near.select("block", F.col("kind").cast("int").alias("kind"), "place", F.round("metres", 3).alias("metres"))
 
 
-@query("SELECT block, bus_stops, schools FROM (SELECT block, count(*) FILTER (WHERE kind = 1 AND metres <= 400) AS bus_stops, count(*) FILTER (WHERE kind = 2 AND metres <= 1000) AS schools FROM apart GROUP BY block)", (PLACES,))
-def block_features(spark: SparkSession, d: str) -> DataFrame:
-    b, p = _points(spark, d)
-    return spatial.block_features(b, p, "block", "place", "kind", bus_kind=1, school_kind=2).select("block", "bus_stops", "schools")
-
-
-@query("SELECT town, CASE WHEN grouping(flat_type) = 1 THEN 'ALL' ELSE flat_type END AS flat_type, round(avg((metres <= 800)::INT) * 100, 4) AS near_pct, round(quantile_cont(metres, 0.5), 3) AS median_m FROM sales JOIN near USING (block) GROUP BY GROUPING SETS ((town, flat_type), (town))", (SALES, WALKS))
-def near_share(spark: SparkSession, d: str) -> DataFrame:
-    b, p = _points(spark, d)
-    s = a.sales(spark, d).join(spatial.nearest(b, p, "block", "place", 2000.0), "block")
-    out = s.groupingSets([["town", "flat_type"], ["town"]], "town", "flat_type").agg((F.avg((F.col("metres") <= 800).cast("int")) * 100).alias("near"), numbers.median(F.col("metres")).alias("m"), F.grouping("flat_type").alias("g"))
-    return out.select("town", F.when(F.col("g") == 1, "ALL").otherwise(F.col("flat_type")).alias("flat_type"), F.round("near", 4).alias("near_pct"), F.round("m", 3).alias("median_m"))
-
-
-@query()
-def address_match(spark: SparkSession, d: str) -> DataFrame:
-    b = a.blocks(spark, d).join(a.table(spark, d, "customer"), F.col("block") == F.col("c_custkey"))
-    home = b.select(F.col("c_nationkey").cast("string").alias("town"), F.col("block").cast("string").alias("block"), F.concat(F.col("c_mktsegment"), F.lit(" ST")).alias("street_name"), "latitude", "longitude")
-    built = home.select("block", F.concat(F.substring("street_name", 1, 3), F.lit("1")).alias("street_code"), "latitude", "longitude")
-    return matching.match_addresses(home, built)
-
-
 @query("""SELECT target, rank, sale_id, round(distance, 6) AS distance FROM (SELECT t.sale_id AS target, s.sale_id, d AS distance, row_number() OVER (PARTITION BY t.sale_id ORDER BY d, s.month DESC, s.sale_id) AS rank FROM t JOIN recent s USING (town, flat_type), LATERAL (SELECT sqrt(((t.area - s.area) / 10) ** 2 + ((t.storey_mid - s.storey_mid) / 6) ** 2 + ((t.lease_year - s.lease_year) / 8) ** 2 + (datediff('month', s.month, last) / 12) ** 2) + CASE WHEN t.flat_model <> s.flat_model THEN 0.25 ELSE 0 END AS d)) WHERE rank <= 5""",
-       (SALES, "recent0 AS (SELECT sales.*, last, count(*) OVER (PARTITION BY sale_id) AS k FROM sales, ends WHERE month > last - to_months(24) AND month <= last), recent AS (SELECT * FROM recent0 WHERE k = 1), t AS (SELECT * EXCLUDE (last) FROM recent WHERE month = last)"))
+       (SALES, "recent AS (SELECT sales.*, last FROM sales, ends WHERE month > last - to_months(24) AND month <= last)", "t AS (SELECT * EXCLUDE (last) FROM recent WHERE month = last)"))
 def comparable_sales(spark: SparkSession, d: str) -> DataFrame:
     last = a.last_month(spark, d)
-    s = a.sales(spark, d).where((F.col("month") > F.add_months(F.lit(last), -24)) & (F.col("month") <= F.lit(last)))
-    once = s.groupBy("sale_id").agg(F.count("*").alias("k")).where("k = 1").select("sale_id")
-    s = s.join(once, "sale_id")
+    s = stored(a.sales(spark, d).where((F.col("month") > F.add_months(F.lit(last), -24)) & (F.col("month") <= F.lit(last))).select("sale_id", "month", "town", "flat_type", "flat_model", "area", "storey_mid", "lease_year", "price"))
     t = s.where(F.col("month") == F.lit(last)).select(F.col("sale_id").alias("target"), "town", "flat_type", F.col("area").alias("t_area"), F.col("storey_mid").alias("t_storey"), F.col("lease_year").alias("t_lease"), F.col("flat_model").alias("t_model"))
     return rounded(comparables.find_comparables(t, s, last).select("target", "rank", "sale_id", "distance"), 6)
 
@@ -384,7 +383,7 @@ def typical_flat(spark: SparkSession, d: str) -> DataFrame:
 ELIGIBLE = "elig AS (SELECT town, flat_type, count(*) FILTER (WHERE transactions >= 5) AS observed, sum(transactions) FILTER (WHERE r <= 12)::BIGINT AS recent_sales, count(*) FILTER (WHERE r <= 12 AND transactions < 5) AS thin_months FROM (SELECT *, row_number() OVER (PARTITION BY town, flat_type ORDER BY month DESC) AS r FROM monthly0) GROUP BY ALL HAVING observed >= 36 AND recent_sales >= 60 AND thin_months <= 2)"
 FEATURES = ELIGIBLE + """, feat0 AS (SELECT town, flat_type, month, transactions, CASE WHEN transactions >= 5 THEN ln(median_price) END AS y_observed FROM monthly0 SEMI JOIN elig USING (town, flat_type)),
 feat1 AS (SELECT *, last_value(y_observed IGNORE NULLS) OVER (PARTITION BY town, flat_type ORDER BY month) AS y FROM feat0), feat2 AS (SELECT *, row_number() OVER (PARTITION BY town, flat_type ORDER BY month) AS t FROM feat1 WHERE y IS NOT NULL),
-feat AS (SELECT *, CASE WHEN count(y) OVER (w ROWS 2 PRECEDING) = 3 THEN avg(y) OVER (w ROWS 2 PRECEDING) END AS level, CASE WHEN count(y) OVER (w ROWS 23 PRECEDING) = 24 THEN regr_slope(y, t) OVER (w ROWS 23 PRECEDING) END AS slope, CASE WHEN count(y) OVER (w ROWS 23 PRECEDING) = 24 THEN avg(y) OVER (w ROWS 23 PRECEDING) END AS mean24, y - lag(y, 12) OVER w AS ret_12, y - lag(y, 1) OVER w AS ret_1 FROM feat2 WINDOW w AS (PARTITION BY town, flat_type ORDER BY month))"""
+feat AS (SELECT *, CASE WHEN count(y) OVER (w ROWS 2 PRECEDING) = 3 THEN avg(y) OVER (w ROWS 2 PRECEDING) END AS level, CASE WHEN count(y) OVER (w ROWS 5 PRECEDING) = 6 THEN avg(y) OVER (w ROWS 5 PRECEDING) END AS mean_6m, CASE WHEN count(y) OVER (w ROWS 11 PRECEDING) = 12 THEN avg(y) OVER (w ROWS 11 PRECEDING) END AS mean_12m, CASE WHEN count(transactions) OVER (w ROWS 2 PRECEDING) = 3 THEN avg(transactions) OVER (w ROWS 2 PRECEDING) END AS sales_3m, CASE WHEN count(y) OVER (w ROWS 23 PRECEDING) = 24 THEN regr_slope(y, t) OVER (w ROWS 23 PRECEDING) END AS slope, CASE WHEN count(y) OVER (w ROWS 23 PRECEDING) = 24 THEN avg(y) OVER (w ROWS 23 PRECEDING) END AS mean24, y - lag(y, 12) OVER w AS ret_12, y - lag(y, 6) OVER w AS ret_6, y - lag(y, 3) OVER w AS ret_3, y - lag(y, 2) OVER w AS ret_2, y - lag(y, 1) OVER w AS ret_1 FROM feat2 WINDOW w AS (PARTITION BY town, flat_type ORDER BY month))"""
 
 
 @query("SELECT * FROM elig", (SALES, MONTHLY, ELIGIBLE))
@@ -392,12 +391,21 @@ def eligible_series(spark: SparkSession, d: str) -> DataFrame:
     return forecast.eligible_series(monthly(spark, d))
 
 
-@query("SELECT town, flat_type, month, round(y, 6) AS y, round(level, 6) AS level, round(slope, 6) AS slope, round(ret_1, 6) AS ret_1, round(ret_12, 6) AS ret_12 FROM feat", (SALES, MONTHLY, FEATURES))
+_NAMES = ("y", "level", "slope", "dev_1", "ret_1", "ret_2", "ret_3", "ret_6", "ret_12", "ma3_vs_ma6", "ma3_vs_ma12", "volume", "volume_change", "national_ret_3", "national_ret_12")
+
+
+@query(f"""SELECT town, flat_type, month, {', '.join(f'floor({c} * 1e6 + 0.50001) / 1e6 AS {c}' for c in _NAMES)} FROM (SELECT f.*, y - level AS dev_1, level - mean_6m AS ma3_vs_ma6, level - mean_12m AS ma3_vs_ma12, ln(1 + sales_3m) AS volume, ln(1 + sales_3m) - lag(ln(1 + sales_3m), 12) OVER (PARTITION BY town, flat_type ORDER BY month) AS volume_change, national_ret_3, national_ret_12
+ FROM feat f LEFT JOIN (SELECT month, ret_3 AS national_ret_3, ret_12 AS national_ret_12 FROM feat WHERE town = 'ALL' AND flat_type = 'ALL') USING (month))""", (SALES, MONTHLY, FEATURES))
 def series_features(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(forecast.series_features(monthly(spark, d)).select("town", "flat_type", "month", "y", "level", "slope", "ret_1", "ret_12"), 6)
+    return rounded(forecast.series_features(monthly(spark, d)).select("town", "flat_type", "month", *_NAMES), 6)
 
 
-FOLDS = FEATURES + """, tests AS (SELECT f.town, f.flat_type, f.month AS origin_month, h AS horizon, f.transactions, g.y_observed AS y_target, f.y AS last_value, f.level AS mean_3m, coalesce(f.mean24 + f.slope * 11.5 + f.slope * h, f.level) AS trend_24m FROM feat f, ends, unnest(range(1, 7)) u(h) JOIN feat g ON g.town = f.town AND g.flat_type = f.flat_type AND g.month = f.month + to_months(h::INT)
+@query("SELECT town, flat_type, month, floor(slope * 1e6 + 0.50001) / 1e6 AS slope, floor((mean24 + slope * 11.5) * 1e6 + 0.50001) / 1e6 AS fit FROM feat WHERE slope IS NOT NULL", (SALES, MONTHLY, FEATURES))
+def trend_fit(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(forecast.series_features(monthly(spark, d)).where("slope is not null").select("town", "flat_type", "month", "slope", "fit"), 6)
+
+
+FOLDS = FEATURES + """, tests AS (SELECT f.town, f.flat_type, f.month AS origin_month, h AS horizon, f.sales_3m, g.y_observed AS y_target, f.y AS last_value, f.level AS mean_3m, coalesce(f.mean24 + f.slope * 11.5 + f.slope * h, f.level) AS trend_24m FROM feat f, ends, unnest(range(1, 7)) u(h) JOIN feat g ON g.town = f.town AND g.flat_type = f.flat_type AND g.month = f.month + to_months(h::INT)
  WHERE f.ret_12 IS NOT NULL AND f.level IS NOT NULL AND g.y_observed IS NOT NULL AND datediff('month', f.month, last) IN (6, 9, 12, 15, 18, 21)),
 errs AS (SELECT *, exp(p) AS predicted, exp(y_target) AS actual, abs(exp(p) / exp(y_target) - 1) * 100 AS ape, y_target - p AS log_error FROM (UNPIVOT tests ON last_value, mean_3m, trend_24m INTO NAME method VALUE p))"""
 
@@ -416,23 +424,42 @@ def scorecard(spark: SparkSession, d: str) -> DataFrame:
     return rounded(forecast.scorecard(backtest(spark, d)))
 
 
-TIERS = "tiered AS (SELECT method, horizon, log_error, CASE WHEN transactions < 10 THEN 'low' WHEN transactions < 30 THEN 'mid' ELSE 'high' END AS tier FROM errs)"
+_TIER = "CASE WHEN sales_3m < 10 THEN 'low' WHEN sales_3m < 30 THEN 'mid' WHEN sales_3m >= 30 THEN 'high' END AS tier"
+TIERS = f"""tiered AS (SELECT method, horizon, log_error, {_TIER} FROM errs),
+cells AS (SELECT method, horizon, tier, count(*) AS n, quantile_cont(log_error, 0.1) AS a, quantile_cont(log_error, 0.9) AS b FROM tiered GROUP BY ALL),
+wholes AS (SELECT method, horizon, unnest(['low', 'mid', 'high']) AS tier, count(*) AS pn, quantile_cont(log_error, 0.1) AS pa, quantile_cont(log_error, 0.9) AS pb FROM tiered GROUP BY method, horizon),
+ranges AS (SELECT method, horizon, tier, CASE WHEN n >= 30 THEN n ELSE pn END AS n, CASE WHEN n >= 30 THEN a ELSE pa END AS q10, CASE WHEN n >= 30 THEN b ELSE pb END AS q90, NOT coalesce(n >= 30, false) AS pooled FROM wholes LEFT JOIN cells USING (method, horizon, tier)),
+overall AS (SELECT method, count(*) AS n, avg(abs(predicted - actual)) AS mae, sqrt(avg((predicted - actual) ** 2)) AS rmse, avg(ape) AS mape FROM errs GROUP BY method), best AS (SELECT method FROM overall ORDER BY mape, method LIMIT 1)"""
+PUBLISHED = f"""now0 AS (SELECT town, flat_type, month AS origin_month, h AS horizon, (month + to_months(h::INT))::DATE AS target_month, {_TIER}, level, y AS last_value, level AS mean_3m, coalesce(mean24 + slope * 11.5 + slope * h, level) AS trend_24m FROM feat, ends, unnest(range(1, 7)) u(h) WHERE month = last AND ret_12 IS NOT NULL AND level IS NOT NULL),
+now1 AS (SELECT n.*, CASE best.method WHEN 'last_value' THEN last_value WHEN 'mean_3m' THEN mean_3m ELSE trend_24m END AS p, best.method, q10, q90 FROM now0 n, best LEFT JOIN ranges r ON r.method = best.method AND r.horizon = n.horizon AND r.tier = n.tier),
+published AS (SELECT town, flat_type, horizon, target_month, tier, method, round_even(exp(level) / 1000, 0) * 1000 AS recent, round_even(exp(p) / 1000, 0) * 1000 AS forecast, round_even(exp(p + q10) / 1000, 0) * 1000 AS lower, round_even(exp(p + q90) / 1000, 0) * 1000 AS upper FROM now1)"""
 
 
-@query("SELECT method, horizon, tier, n, round(CASE WHEN n >= 30 THEN a ELSE pa END, 6) AS q10, round(CASE WHEN n >= 30 THEN b ELSE pb END, 6) AS q90 FROM (SELECT method, horizon, tier, count(*) AS n, quantile_cont(log_error, 0.1) AS a, quantile_cont(log_error, 0.9) AS b FROM tiered GROUP BY ALL) JOIN (SELECT method, horizon, quantile_cont(log_error, 0.1) AS pa, quantile_cont(log_error, 0.9) AS pb FROM tiered GROUP BY ALL) USING (method, horizon)", (SALES, MONTHLY, FOLDS, TIERS))
+@query("SELECT method, horizon, tier, n, floor(q10 * 1e6 + 0.50001) / 1e6 AS q10, floor(q90 * 1e6 + 0.50001) / 1e6 AS q90, pooled FROM ranges", (SALES, MONTHLY, FOLDS, TIERS))
 def intervals(spark: SparkSession, d: str) -> DataFrame:
     return rounded(forecast.intervals(backtest(spark, d)), 6)
 
 
-@query()
+@query("SELECT method, n, round(mae, 4) AS mae, round(rmse, 4) AS rmse, round(mape, 4) AS mape, round_even((mape / (SELECT mape FROM overall WHERE method = 'mean_3m') - 1) * 100, 2) AS mape_vs_baseline_pct, method = (SELECT method FROM best) AS selected FROM overall", (SALES, MONTHLY, FOLDS, TIERS))
+def method_comparison(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(forecast.compared(forecast.scorecard(backtest(spark, d))).select("method", "n", "mae", "rmse", "mape", "mape_vs_baseline_pct", "selected"))
+
+
+def outlook(spark: SparkSession, d: str) -> DataFrame:
+    rows, last = stored(forecast.feature_rows(forecast.series_features(monthly(spark, d)))), a.last_month(spark, d)
+    return forecast.published(rows, forecast.errors(forecast.backtest_rows(rows, last)), last)
+
+
+@query("SELECT town, flat_type, horizon, target_month, tier, method, recent, forecast, lower, upper FROM published", (SALES, MONTHLY, FOLDS, TIERS, PUBLISHED))
 def forecast_published(spark: SparkSession, d: str) -> DataFrame:
-    rows, last = forecast.feature_rows(forecast.series_features(monthly(spark, d))), a.last_month(spark, d)
-    return forecast.published(rows, forecast.intervals(forecast.errors(forecast.backtest_rows(rows, last))), last)
+    return rounded(outlook(spark, d).select("town", "flat_type", "horizon", "target_month", "tier", "method", "recent", "forecast", "lower", "upper"))
 
 
 @query()
 def forecast_gbt(spark: SparkSession, d: str) -> DataFrame:
-    return forecast.boosted(forecast.feature_rows(forecast.series_features(monthly(spark, d))), a.last_month(spark, d), trees=5)
+    """The reference's trees are 300; 20 keep seven fits within minutes on one machine."""
+    rows, last = forecast.feature_rows(forecast.series_features(monthly(spark, d))), a.last_month(spark, d)
+    return forecast.boosted(rows, last, trees=20)
 
 
 @query(f"""SELECT count(*) AS n, round(avg(abs(p - price)), 4) AS mae, round(avg(abs(p / price - 1) * 100), 4) AS mape FROM (SELECT s.price, coalesce(x, y, z) * s.area AS p FROM (SELECT sales.* FROM sales, ends WHERE month > last - to_months(6) AND month <= last) s LEFT JOIN (SELECT town, flat_type, quantile_cont(psm, 0.5) AS x FROM tr GROUP BY ALL) USING (town, flat_type) LEFT JOIN (SELECT flat_type, quantile_cont(psm, 0.5) AS y FROM tr GROUP BY ALL) USING (flat_type), (SELECT quantile_cont(psm, 0.5) AS z FROM tr))""", (SALES, "tr AS (SELECT sales.* FROM sales, ends WHERE month > last - to_months(18) AND month <= last - to_months(6))"))
@@ -443,13 +470,6 @@ def rule_of_thumb(spark: SparkSession, d: str) -> DataFrame:
     return rounded(pricing.score(pricing.rule_of_thumb(train, test)).select("n", "mae", "mape"))
 
 
-@query()
-def price_model(spark: SparkSession, d: str) -> DataFrame:
-    last, s = a.last_month(spark, d), a.sales(spark, d)
-    frame = pricing.modelling_frame(s.where(F.col("month") <= F.lit(last)), market.market_index(s, last))
-    return pricing.compare_models(frame, last)
-
-
 @query(f"SELECT town, round(p.price, 4) AS median_price, sales_12m, round(r.median_psm, 4) AS median_psm FROM (SELECT town, quantile_cont(price, 0.5) * 10 AS price, count(*) AS sales_12m FROM sales, ends WHERE {_IN['12m']} GROUP BY town) p JOIN ranking r USING (town) WHERE town IN ('NATION_3', 'NATION_7', 'NATION_11')", (SALES, RANKING))
 def compare_towns(spark: SparkSession, d: str) -> DataFrame:
     p = town_prices(spark, d, ("town",)).where(F.col("town").isin("NATION_3", "NATION_7", "NATION_11"))
