@@ -36,10 +36,27 @@ def series_keys(sales: DataFrame) -> DataFrame:
     return rollup(sales.select(*KEYS).distinct(), F.count("*").alias("n"), fixed=[]).select(*KEYS)
 
 
+def cube_rows(df: DataFrame, keys: list[str] = KEYS) -> DataFrame:
+    """Every row under each combination of its keys and ``ALL``. Rows with a null key are left out."""
+    kept = df.where(" and ".join(f"{k} is not null" for k in keys))
+    sets = [F.struct(*[(F.lit(ALL) if m >> i & 1 else F.col(k)).alias(k) for i, k in enumerate(keys)]) for m in range(1 << len(keys))]
+    return kept.withColumn("_k", F.explode(F.array(*sets))).select(*[c for c in df.columns if c not in keys], "_k.*")
+
+
+def sorted_medians(df: DataFrame, by: list[str], value: str, name: str, count: str) -> DataFrame:
+    """(by, median of the values that are not null, number of rows). Groups are sorted, which spills, instead of being kept as tables of values in memory."""
+    group = Window.partitionBy(*by)
+    places = F.row_number().over(group.orderBy(F.col(value).asc_nulls_last()))
+    ranked = df.select(*by, value, places.alias("_i"), F.count(value).over(group).alias("_n"), F.count("*").over(group).alias(count))
+    # the middle one or two of the values; one row where there is none
+    middle = ranked.where(F.col("_i").isin(F.floor((F.col("_n") + 1) / 2), F.ceil((F.col("_n") + 1) / 2)) | ((F.col("_n") == 0) & (F.col("_i") == 1)))
+    return middle.groupBy(*by).agg(F.avg(value).alias(name), F.max(count).alias(count))
+
+
 def pooled_median(sales: DataFrame, months: int = 3) -> DataFrame:
     """(month, town, flat_type, pooled_median, pooled_count) of all sales of the month and the months before it, pooled."""
-    shifted = sales.withColumn("month", F.explode(F.transform(F.sequence(F.lit(0), F.lit(months - 1)), lambda i: F.add_months("month", i))))
-    return rollup(shifted, median(F.col("price")).alias("pooled_median"), F.count("*").alias("pooled_count"))
+    shifted = sales.where("month is not null").select(F.explode(F.transform(F.sequence(F.lit(0), F.lit(months - 1)), lambda i: F.add_months("month", i))).alias("month"), *KEYS, "price")
+    return sorted_medians(cube_rows(shifted), ["month", *KEYS], "price", "pooled_median", "pooled_count")
 
 
 def month_grid(first: Column, last: Column) -> Column:

@@ -55,7 +55,8 @@ def rounded(df: DataFrame, digits: int = 4) -> DataFrame:
 
 
 def monthly(spark: SparkSession, d: str) -> DataFrame:
-    return market.market_monthly(a.sales(spark, d), a.last_month(spark, d))
+    sales = stored(a.sales(spark, d).select("month", "town", "flat_type", "price", "psm", "area"))  # read by several aggregations
+    return market.market_monthly(sales, a.last_month(spark, d))
 
 
 def _r(*names: str, n: int = 4) -> str:
@@ -157,7 +158,8 @@ def duplicates(spark: SparkSession, d: str) -> DataFrame:
        (RAW, "logs AS (SELECT town, flat_type, year(month)::BIGINT AS year, ln(round_even(price / area, 2)) AS x FROM flagged WHERE len(reasons) = 0)", "mids AS (SELECT town, flat_type, year, quantile_cont(x, 0.5) AS m, count(*) AS n FROM logs GROUP BY ALL)", "mads AS (SELECT town, flat_type, year, quantile_cont(abs(x - m), 0.5) AS mad FROM logs JOIN mids USING (town, flat_type, year) GROUP BY ALL)"))
 def price_outliers(spark: SparkSession, d: str) -> DataFrame:
     """Valid records by the log of their price per area, within town, type and year; the bound is lowered, since these data have no outlier beyond 5."""
-    flagged = clean.flag_outliers(cleaned(spark, d), Quality(outlier_z=2.5)).where("is_valid")
+    records = stored(cleaned(spark, d).select("town", "flat_type", "year", "psm", "is_valid"))  # parsed once, read by each median
+    flagged = clean.flag_outliers(records, Quality(outlier_z=2.5)).where("is_valid")
     return flagged.groupBy("town", "flat_type", F.col("year").cast("long").alias("year")).agg(F.count("*").alias("sales"), F.count_if("is_price_outlier").alias("outliers"))
 
 
