@@ -220,4 +220,4 @@ def valuation_report(spark: SparkSession, d: str) -> DataFrame:
     flats = test.where(F.col("month") == F.lit(last)).select(F.col("sale_id").alias("flat"), "town", "flat_type", F.col("price").alias("asking"), *pricing.SWAPPED, *location)
     usual = comparables.typical_flats(frame).select("town", "flat_type", F.col("area").alias("typical_area"), F.col("storey").alias("typical_storey_mid"), F.col("lease_year").cast("int").alias("typical_lease_year"), F.col("model").alias("typical_flat_model"))
     places = frame.groupBy("town", "flat_type").agg(*[numbers.median(F.col(c)).alias(f"typical_{c}") for c in location])
-    return pricing.valuation(model, flats, usual.join(places, ["town", "flat_type"]), market.market_index(frame, last), ranges, location)
+    return pricing.valuation(model, flats, usual.join(places, ["town", "flat_type"]), market.market_index(frame, last), ranges, location, start_year=1995)
