@@ -194,11 +194,11 @@ class Scanner:
             marks = sorted(marks + [m.span() for m in NAMES.finditer(text)])
         windows: list[list[int]] = []
         for s, t in marks:
-            if windows and t <= windows[-1][1]:
-                continue
-            a, b = _back(text, s), _on(text, t)
+            b = _on(text, t)
+            # a window reaches behind each of its marks as far as the proof needs
+            a = windows[-1][0] if windows and s <= windows[-1][1] else _back(text, s)
             if windows and a <= windows[-1][1]:
-                windows[-1][1] = b
+                windows[-1][1] = max(windows[-1][1], b)
             else:
                 windows.append([a, b])
         file, model, out = _file(text) if windows else (), self.classes.model, []

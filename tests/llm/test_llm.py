@@ -500,3 +500,14 @@ def test_permutation_index_on_several_shards(spark):
         if q in (200, 300):
             assert 1 in {g["vec_id"] for g in mine if g["score"] == 0}
     assert hits >= 0.9 * 10 * len(range(0, 3020, 100))
+
+
+def test_two_marks_at_every_distance(secret_model):
+    scanner, r = secrets.Scanner(secret_model), random.Random(22)
+    for gap in range(1, 31):
+        for first, second in itertools.product(("%%%", "x=1", "AKIA" + "Z9" * 9, "password"), repeat=2):
+            text = " ".join([sentence(r, 30), first, *([sentence(r, gap - 1)] if gap > 1 else []), second, sentence(r, 40)])
+            tokens, starts = secrets._tokens(text)
+            y = secret_model.decode(secrets.emissions(scanner.classes, tokens, secrets._file(text)))
+            inside = {int(s) for s, label in zip(starts, y) if label}
+            assert inside == {int(s) for s in starts for a, b in scanner.spans(text) if a <= s < b}, (gap, first, second)
