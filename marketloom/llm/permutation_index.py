@@ -32,40 +32,55 @@ def orders(x: np.ndarray, pivots: np.ndarray, depth: int) -> np.ndarray:
 
 
 def search_shard(ids: np.ndarray, x: np.ndarray, asked: np.ndarray, qids: np.ndarray, q: np.ndarray, pivots: np.ndarray, depth: int, share: float, least: int, k: int):
-    """(query row, query id, id, distance) of the k nearest that the index finds in one shard; its rows come by id."""
-    n, out = len(ids), []
+    """(query row, query id, id, distance) of the k nearest that the index finds in one shard; its rows come by id.
+
+    Equal vectors are one entry of the index, with all their ids, so that a common vector takes no other's place.
+    """
+    same = np.ascontiguousarray(x).view(np.dtype((np.void, x.dtype.itemsize * x.shape[1]))).ravel()
+    _, first, entry = np.unique(same, return_index=True, return_inverse=True)
+    by_id = np.argsort(first)  # entries by their smallest id
+    place = np.empty_like(by_id)
+    place[by_id] = np.arange(len(by_id))
+    entry, x = place[entry], x[first[by_id]]
+    rows = np.argsort(entry, kind="stable")
+    ends = np.cumsum(np.bincount(entry))
+    n, out = len(x), []
     rank = orders(x, pivots, depth)
     pivot = rank.ravel()
     by = np.argsort(pivot, kind="stable")
     starts = np.searchsorted(pivot[by], np.arange(len(pivots) + 1))
-    who, place = by // depth, (by % depth).astype(np.int32)
+    who, at = by // depth, (by % depth).astype(np.int32)
     want = min(n, max(least, int(np.ceil(share * n))))
     for i, own in enumerate(orders(q, pivots, depth)):
         # a pivot that is missing from an order counts as one behind its last
         gain = np.zeros(n, np.int32)
         for r, p in enumerate(own):
             a, b = starts[p], starts[p + 1]
-            gain[who[a:b]] += (depth - r) + (depth - place[a:b]) - np.abs(r - place[a:b])
+            gain[who[a:b]] += (depth - r) + (depth - at[a:b]) - np.abs(r - at[a:b])
         near = np.arange(n)
         if want < n:
             least_gain = np.partition(gain, n - want)[n - want]
             near = np.flatnonzero(gain > least_gain)
             near = np.concatenate((near, np.flatnonzero(gain == least_gain)[: want - len(near)]))  # ties to the smaller id
-        near = near[ids[near] != qids[i]]
         d = np.sqrt(((x[near] - q[i]) ** 2).sum(axis=1))
-        top = near[np.lexsort((ids[near], d))[:k]]
-        for t in top:
-            out.append((int(asked[i]), int(qids[i]), int(ids[t]), float(np.sqrt(((x[t] - q[i]) ** 2).sum()))))
+        best = []
+        # one entry more than rows are wanted, since the query's own id may stand in one
+        for t in np.lexsort((near, d))[: k + 1]:
+            e = near[t]
+            score = float(np.sqrt(((x[e] - q[i]) ** 2).sum()))
+            listed = ids[rows[ends[e - 1] if e else 0 : ends[e]]]
+            best += [(score, int(v)) for v in listed[listed != qids[i]][:k]]
+        out += [(int(asked[i]), int(qids[i]), v, score) for score, v in sorted(best)[:k]]
     return out
 
 
 def search(
     vectors: DataFrame, queries: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 10, n_pivots: int = 256,
-    depth: int = 96, share: float = 0.15, least: int = 256, shard_rows: int = 8192, block_rows: int = 4096,
+    depth: int = 48, share: float = 0.3, least: int = 256, shard_rows: int = 8192, block_rows: int = 4096,
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest of each query among the other rows, by Euclidean distance, ties to the smaller id.
 
-    The pivots are the ``n_pivots`` rows with the lowest hashed id (a bounded sample); every row is indexed. Of each
+    The pivots are the ``n_pivots`` different vectors with the lowest hash (a bounded sample); every row is indexed. Of each
     shard (about ``shard_rows`` rows) a query measures the ``share`` with the best footrule, ``least`` at least.
     Shards and blocks of ``block_rows`` queries meet in tasks of their own, so that a task's size is bounded.
     Vectors that are null, zero, of another length than the first pivot's, or hold null or non-finite components take
@@ -75,9 +90,10 @@ def search(
     spark = vectors.sparkSession
     tables = Tables(spark, "permutation")
     rows, asked = tables.keep(valid_vectors(vectors, id_col, vector_col)), tables.keep(valid_vectors(queries, id_col, vector_col))
-    order = F.struct(F.xxhash64("id", F.lit(4)).alias("h"), "id", "row")
-    chosen = rows.select(order.alias("o")).orderBy("o").limit(n_pivots).select("o.*")  # narrow rows are sorted; vectors follow by row
-    picked = rows.join(F.broadcast(chosen.select("row", "h")), "row").orderBy("h", "id", "row").collect()
+    # narrow hashes are sorted; the vectors of the chosen ones follow, one of each
+    hashed = rows.withColumn("h", F.xxhash64("v", F.lit(4)))
+    chosen = hashed.select("h").distinct().orderBy("h").limit(n_pivots)
+    picked = hashed.join(F.broadcast(chosen), "h").groupBy("h").agg(F.min_by("v", "row").alias("v")).orderBy("h").collect()
     if not picked:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     width = len(picked[0]["v"])
