@@ -24,7 +24,7 @@ from marketloom.llm.text import small_batches
 
 BLOCK = frozenset("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section select summary table tbody td textarea tfoot th thead title tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-HIDDEN = frozenset("script style noscript template title iframe svg canvas object audio video datalist".split())
+HIDDEN = frozenset("script style noscript template title iframe svg canvas object audio video datalist textarea".split())
 CLOSED = re.compile(rf"</({'|'.join(sorted(HIDDEN))})\b", re.I)
 #: start tag -> open tags that it ends, if they are nearer than the barrier
 ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "body": ("head",)}
@@ -57,8 +57,31 @@ class Block:
     label: int
 
 
+@dataclass(slots=True)
+class _Element:
+    """An open element, with what holds of it and of all that it lies in, so that nobody walks up the tree."""
+
+    tag: str
+    kinds: frozenset  # region kinds, of all
+    tags: frozenset  # of those that features name
+    own: str  # tag of the nearest block element
+    label: int  # the nearest label of a training page
+    hidden: bool
+    linked: bool
+    inside: bool  # an element that sites use for the article itself
+    block: int  # where the nearest block element, barrier, outermost drawing and paragraph (within its block element) lie, else -1
+    barrier: int
+    drawing: int
+    paragraph: int
+
+
+#: What lies in no element.
+OUTSIDE = _Element("", frozenset(), frozenset(), "-", 0, False, False, False, -1, -1, -1, -1)
+NAMED = (BLOCK | AROUND | {"a"}) - {"html", "body"}
+
+
 class _Blocks(HTMLParser):
-    """Collects the leaf blocks. Open elements are (tag, region kinds, label of a training page or None).
+    """Collects the leaf blocks, each with its innermost open element. Time and memory follow the page's length at any depth.
 
     An element that hides its text does so only if an end tag of it is still to come, so that one that is never closed
     takes no text away (but for script and style, whose text can't be told from the page's).
@@ -67,19 +90,30 @@ class _Blocks(HTMLParser):
     def __init__(self, closed: Counter) -> None:
         super().__init__(convert_charrefs=True)
         self.closed = closed
-        self.open: list[tuple[str, frozenset, int | None]] = []
+        self.open: list[_Element] = []
+        self.at: dict[str, list[int]] = {}  # tag -> where it is open
         self.parts: list[str] = []
         self.linked = 0
         self.blocks: list[Block] = []
 
+    def inner(self) -> _Element:
+        return self.open[-1] if self.open else OUTSIDE
+
+    def last(self, tags) -> int:
+        return max((self.at[t][-1] for t in tags if self.at.get(t)), default=-1)
+
+    def cut(self, x: int) -> None:
+        """End the open elements from x on."""
+        while len(self.open) > x:
+            self.at[self.open.pop().tag].pop()
+
     def flush(self) -> None:
         if not self.parts:
             return
         text = SPACE.sub(" ", "".join(self.parts)).strip()
         linked, self.parts, self.linked = self.linked, [], 0
         if text:
-            label = next((x[2] for x in reversed(self.open) if x[2] is not None), 0)
-            self.blocks.append(Block(text, (linked, tuple(self.open)), label))
+            self.blocks.append(Block(text, (linked, self.inner()), self.inner().label))
 
     def parse_html_declaration(self, i):
         """Marked sections are bogus comments in HTML, whatever their keyword."""
@@ -89,22 +123,13 @@ class _Blocks(HTMLParser):
         if tag in BLOCK:
             self.flush()
             # block elements end an open drawing, as browsers have it
-            drawing = next((x for x, e in enumerate(self.open) if e[0] == "svg"), None)
-            if drawing is not None and tag != "title":
-                del self.open[drawing:]
-            for x in range(len(self.open) - 1, -1, -1):
-                if self.open[x][0] in ENDS.get(tag, ()):
-                    del self.open[x:]
-                    break
-                if self.open[x][0] in BARRIER:
-                    break
-            if tag not in ("button", "select", "option", "textarea"):
-                for x in range(len(self.open) - 1, -1, -1):
-                    if self.open[x][0] == "p":
-                        del self.open[x:]
-                        break
-                    if self.open[x][0] in BLOCK:
-                        break
+            if self.inner().drawing >= 0 and tag != "title":
+                self.cut(self.inner().drawing)
+            ended = self.last(ENDS.get(tag, ()))
+            if ended >= 0 and ended >= self.inner().barrier:
+                self.cut(ended)
+            if tag not in ("button", "select", "option", "textarea") and self.inner().paragraph >= 0:
+                self.cut(self.inner().paragraph)
         elif tag == "br":
             self.parts.append(" ")
         if tag in VOID:
@@ -113,8 +138,14 @@ class _Blocks(HTMLParser):
             tag = "span"
         a = {k: v or "" for k, v in attrs}
         named = " ".join(a.get(k, "") for k in ("class", "id", "role", "aria-label"))
-        kinds = frozenset(KIND_OF[w] for w in map(str.lower, PART.findall(named)) if w in KIND_OF)
-        self.open.append((tag, kinds, int(a["data-y"]) if a.get("data-y", "") in ("0", "1") else None))
+        kinds = {KIND_OF[w] for w in map(str.lower, PART.findall(named)) if w in KIND_OF}
+        up, x, block = self.inner(), len(self.open), tag in BLOCK
+        self.at.setdefault(tag, []).append(x)
+        self.open.append(_Element(
+            tag, up.kinds if kinds <= up.kinds else up.kinds | kinds, up.tags if tag not in NAMED or tag in up.tags else up.tags | {tag}, tag if block else up.own, int(a["data-y"]) if a.get("data-y", "") in ("0", "1") else up.label,
+            up.hidden or tag in HIDDEN, up.linked or tag == "a", up.inside or tag in ("article", "main") or "body" in kinds,
+            x if block else up.block, x if tag in BARRIER else up.barrier, up.drawing if up.drawing >= 0 or tag != "svg" else x, x if tag == "p" else -1 if block else up.paragraph,
+        ))
 
     def handle_startendtag(self, tag, attrs):
         if tag not in HIDDEN:
@@ -124,32 +155,27 @@ class _Blocks(HTMLParser):
         self.closed[tag] -= 1
         if tag in BLOCK:
             self.flush()
-        for x in range(len(self.open) - 1, -1, -1):
-            if self.open[x][0] == tag:
-                del self.open[x:]
-                return
-            if tag not in BLOCK and self.open[x][0] in BLOCK:
-                return
+        x = self.last((tag,))
+        if x >= 0 and (tag in BLOCK or x > self.inner().block):
+            self.cut(x)
 
     def handle_data(self, data):
-        if any(x[0] in HIDDEN for x in self.open):
+        if self.inner().hidden:
             return
         self.parts.append(data)
-        if any(x[0] == "a" for x in self.open):
+        if self.inner().linked:
             self.linked += len(data.strip())
 
 
-def _core(path: tuple) -> bool:
+def _core(element: _Element) -> bool:
     """Whether a block lies in an element that sites use for the article itself."""
-    return any(t in ("article", "main") or "body" in kinds for t, kinds, _ in path) and not any("talk" in kinds for _, kinds, _ in path)
+    return element.inside and "talk" not in element.kinds
 
 
-def _features(text: str, linked: int, path: tuple, page: str) -> tuple[str, ...]:
+def _features(text: str, linked: int, element: _Element, page: str) -> tuple[str, ...]:
     """page: whether the page has an element for the article."""
-    tags = {t for t, _, _ in path if t not in ("html", "body")}
-    kinds = set().union(*(k for _, k, _ in path)) if path else set()
-    own = next((t for t, _, _ in reversed(path) if t in BLOCK), "-")
-    zone = "core" if _core(path) else page
+    tags, kinds, own = element.tags, element.kinds, element.own
+    zone = "core" if _core(element) else page
     around = min(2, len(tags & AROUND) + len(kinds - {"body"}))
     words = text.split(" ")
     n = len(words)
