@@ -229,17 +229,19 @@ def fit(
     Only labelled rows whose crc32(id as text) mod 3 is not 1 are used: those of remainder 0 are counted, those of
     remainder 2 place the curve. ``max_docs_per_class`` bounds each of the four samples (the rows with the lowest
     hashed id); taking as many of either class keeps the two models matched. Rows without id, text or label are no
-    training rows. Without rows of both classes the model scores every text 0.
+    training rows, nor are those of an id with both labels; a label that is repeated counts once, and of documents that
+    repeat an id the smallest text. So the order of rows plays no part. Without rows of both classes every text scores 0.
     """
     small_batches(documents.sparkSession)
     fold = F.crc32(F.col("id").cast("string").cast("binary")) % 3
-    labelled = labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("label")).where("id is not null and label in (0, 1)").where(fold != 1).dropDuplicates(["id"])
+    labelled = labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("label")).where("id is not null and label in (0, 1)").where(fold != 1)
+    labelled = labelled.groupBy("id").agg(F.min("label").alias("label"), F.max("label").alias("_other")).where("label = _other").drop("_other")
     picked = None
     for part in (0, 2):
         for label in (0, 1):
             some = _sample(labelled.where(fold == part), label, max_docs_per_class).withColumn("part", F.lit(part))
             picked = some if picked is None else picked.unionByName(some)
-    rows = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text is not null").join(F.broadcast(picked), "id")
+    rows = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text is not null").join(F.broadcast(picked), "id").groupBy("id", "label", "part").agg(F.min("text").alias("text"))
 
     def count(batches):
         seen: dict[str, list[int]] = {}
