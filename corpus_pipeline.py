@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from marketloom.llm import decontaminate, jaccard_join, mixing, secrets
 from marketloom.llm.queries import TOXIC_FROM, table, toxic_score
-from marketloom.llm.stored import new_folder, released, remove
+from marketloom.llm.stored import new_folder, released, remove, stored
 
 
 def clean_toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,7 +22,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents into which no benchmark item leaks."""
-    leaks = decontaminate.find_leaks(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
+    leaks = stored(decontaminate.find_leaks(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct())
     leaks = F.broadcast(leaks) if leaks.count() <= jaccard_join.MOST_IDS else leaks
     return docs.join(leaks, "doc_id", "left_anti").select(docs.columns)
 
