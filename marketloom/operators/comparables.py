@@ -8,25 +8,32 @@ from pyspark.sql.window import Window
 
 from marketloom.config import Comparables
 from marketloom.functions.numbers import median
+from marketloom.operators.neighbours import nearest_k
 
 
 def find_comparables(targets: DataFrame, sales: DataFrame, last_month, c: Comparables = Comparables()) -> DataFrame:
     """The most similar recent sales of each target (target, town, flat_type, t_area, t_storey, t_lease, t_model).
 
-    Only sales of the same town and type of the last two years count. Ties go to the newer sale, then to the smaller id.
+    Only sales of the same town and type of the last two years count. Ties go to the newer sale, then to the smaller id. With
+    t_x, t_y of the targets and x_m, y_m of the sales, metres apart count too, where both are known. Targets and sales without
+    area, storey or lease year have no distance and play no part. Of sales that differ in month and id only, the newest come
+    first for every target, so that few of them are kept; the rest is searched in cells of area, storey and lease.
     """
-    last = F.lit(last_month).cast("date")
-    recent = sales.where((F.col("month") > F.add_months(last, -c.months)) & (F.col("month") <= last))
-    both = targets.join(recent, ["town", "flat_type"])
-    age = F.months_between(last, F.col("month"))
-    parts = [(F.col("t_area") - F.col("area")) / c.area, (F.col("t_storey") - F.col("storey_mid")) / c.storey, (F.col("t_lease") - F.col("lease_year")) / c.lease, age / c.recency]
+    last, origin = F.lit(last_month).cast("date"), "t_x" in targets.columns and "x_m" in sales.columns
+    same = ["town", "flat_type", "area", "storey_mid", "lease_year", "flat_model", *(["x_m", "y_m"] if origin else [])]
+    recent = sales.where((F.col("month") > F.add_months(last, -c.months)) & (F.col("month") <= last)).select(*same, "month", "sale_id", "price")
+    first = Window.partitionBy(*same).orderBy(F.desc("month"), "sale_id")
+    scaled = {"_a": F.col("area") / c.area, "_s": F.col("storey_mid") / c.storey, "_l": F.col("lease_year") / c.lease}
+    kept = recent.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= c.top).withColumns(scaled).drop("_n", "area", "storey_mid", "lease_year")
+    asked = targets.withColumns({"t_a": F.col("t_area") / c.area, "t_s": F.col("t_storey") / c.storey, "t_l": F.col("t_lease") / c.lease})
+    asked = asked.select("target", "town", "flat_type", "t_a", "t_s", "t_l", "t_model", *(["t_x", "t_y"] if origin else []))
+    parts = [F.col("t_a") - F.col("_a"), F.col("t_s") - F.col("_s"), F.col("t_l") - F.col("_l"), F.months_between(last, F.col("month")) / c.recency]
     d = F.sqrt(sum((p * p for p in parts[1:]), parts[0] * parts[0])) + F.when(F.col("t_model") != F.col("flat_model"), F.lit(0.25)).otherwise(F.lit(0.0))
-    if "t_x" in targets.columns and "x_m" in sales.columns:
+    if origin:
         apart = F.coalesce(F.sqrt((F.col("t_x") - F.col("x_m")) ** 2 + (F.col("t_y") - F.col("y_m")) ** 2), F.lit(0.0))
         d = F.sqrt(d * d + (apart / c.metres) ** 2)
-    both = both.withColumn("distance", d)
-    w = Window.partitionBy("target").orderBy("distance", F.desc("month"), "sale_id")
-    return both.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= c.top).select("target", "rank", "sale_id", "month", "price", "distance", F.bround(100 * F.exp(-F.col("distance") / 2)).alias("similarity"))
+    found = nearest_k(asked, kept, "target", [("t_a", "_a"), ("t_s", "_s"), ("t_l", "_l")], d, [F.desc("month"), "sale_id"], k=c.top, by=["town", "flat_type"], least_side=0.25, enough=c.top)
+    return found.select("target", "rank", "sale_id", "month", "price", "distance", F.bround(100 * F.exp(-F.col("distance") / 2)).alias("similarity"))
 
 
 def typical_flats(sales: DataFrame) -> DataFrame:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -12,7 +10,7 @@ from pyspark.sql.window import Window
 
 from marketloom.config import Walk
 from marketloom.functions.numbers import to_metres
-from marketloom.sources.scratch import stored
+from marketloom.operators.neighbours import nearest_k
 
 
 def with_metres(df: DataFrame, latitude: str = "latitude", longitude: str = "longitude") -> DataFrame:
@@ -41,26 +39,15 @@ def count_within(left: DataFrame, right: DataFrame, radius: float, left_id: str,
 
 
 def nearest(left: DataFrame, right: DataFrame, left_id: str, right_id: str, radius: float = 1000.0, by: str | None = None) -> DataFrame:
-    """(left_id, right_id, metres) of the nearest right point (with ``by``: of the same kind), ties to the smaller right id.
+    """(left_id, right_id, metres) of the nearest right point (with ``by``: of the same kind), however far, ties to the smaller right id.
 
-    The radius doubles until every left point has a neighbour within it, which proves the nearest, or until it spans all
-    points; only left points for which the right side has none (of their kind) are left out.
+    Cells follow the density of the right points, down to a thousandth of ``radius``, a usual distance. Only left points for which the right side has none (of their kind) are left out.
     """
-    key = [left_id, *([by] if by else [])]
-    points = [df.where("x_m is not null and y_m is not null") for df in (left, right)]
-    span = points[0].select("x_m", "y_m").unionByName(points[1].select("x_m", "y_m")).agg(*[(F.max(c) - F.min(c)).alias(c) for c in ("x_m", "y_m")]).first()
-    most = math.hypot(*(v or 0.0 for v in span)) + 1.0
-    found, open_ = None, points[0].select(*key, "x_m", "y_m")
-    if by:
-        open_ = open_.join(points[1].select(by).distinct(), by, "left_semi")
-    while True:
-        best = within(open_, right, radius, left_id, right_id, by).groupBy(*key).agg(F.min(F.struct("metres", right_id)).alias("best"))
-        got = stored(best.select(*key, F.col(f"best.{right_id}").alias(right_id), "best.metres"))
-        found = got if found is None else found.unionByName(got)
-        open_ = stored(open_.join(got.select(*key), key, "left_anti"))
-        if radius >= most or open_.isEmpty():
-            return found
-        radius *= 2
+    also = [by] if by else []
+    once = right.groupBy(*also, F.col("x_m").alias("_x"), F.col("y_m").alias("_y")).agg(F.min(right_id).alias(right_id))
+    metres = F.sqrt((F.col("x_m") - F.col("_x")) ** 2 + (F.col("y_m") - F.col("_y")) ** 2)
+    found = nearest_k(left.select(left_id, *also, "x_m", "y_m"), once, left_id, [("x_m", "_x"), ("y_m", "_y")], metres, [right_id], by=also, least_side=radius / 1000)
+    return found.select(left_id, *also, right_id, F.col("distance").alias("metres"))
 
 
 def nearest_of_kinds(left: DataFrame, places: DataFrame, left_id: str, place_id: str, kind: str, radius: float = 1000.0) -> DataFrame:

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from marketloom.plans import adapter as a
 from marketloom.plans.queries import query, rounded
-from marketloom.sources import readers, tables
-from marketloom.sources.scratch import shared_folder
+from marketloom.sources import readers, snapshots, tables
+from marketloom.sources.scratch import shared_folder, stored
 
 
 def _path(spark: SparkSession, name: str) -> str:
@@ -88,6 +88,27 @@ def snapshot_change(spark: SparkSession, d: str) -> DataFrame:
     return one.select(F.explode(F.array(F.struct(F.lit("shuffled").alias("pair"), (F.col("digest") == F.col("d2")).alias("same")), F.struct(F.lit("one row changed").alias("pair"), (F.col("digest") == F.col("d3")).alias("same")))).alias("x"), "rows").select("x.*", "rows")
 
 
+_SECOND = """first AS (SELECT date_trunc('month', o_orderdate)::DATE AS month, o_orderkey AS k, o_totalprice AS price FROM orders),
+second AS (SELECT month, k, CASE WHEN month = DATE '1997-03-01' AND k % 3 = 0 THEN price + 1 ELSE price END AS price FROM first WHERE month <> DATE '1996-02-01' AND NOT (month = DATE '1998-01-01' AND k % 5 = 0))"""
+
+
+@query("""SELECT month, coalesce(added, 0) AS added, coalesce(removed, 0) AS removed, added IS NOT NULL AS rewritten, coalesce(rows, 0) AS rows, round(coalesce(price, 0), 2) AS price FROM (SELECT month FROM first GROUP BY month)
+ LEFT JOIN (SELECT month, sum((s.k IS NOT NULL)::INT)::BIGINT AS added, sum((f.k IS NOT NULL)::INT)::BIGINT AS removed FROM first f FULL JOIN second s USING (month, k) WHERE f.price IS DISTINCT FROM s.price GROUP BY month) USING (month)
+ LEFT JOIN (SELECT month, count(*) AS rows, sum(price) AS price FROM second GROUP BY month) USING (month)""", (_SECOND,))
+def incremental_months(spark: SparkSession, d: str) -> DataFrame:
+    """Orders as a table by months, then a second snapshot of them: a month's prices changed, some orders and a whole month gone."""
+    path, month = _path(spark, "snapshots"), F.trunc("o_orderdate", "MM")
+    first = stored(a.table(spark, d, "orders").select(month.alias("month"), F.col("o_orderkey").alias("k"), F.col("o_totalprice").alias("price")))
+    at = lambda day: F.col("month") == F.lit(day).cast("date")
+    price = F.when(at("1997-03-01") & (F.col("k") % 3 == 0), F.col("price") + 1).otherwise(F.col("price"))
+    second = stored(first.where(~at("1996-02-01") & ~(at("1998-01-01") & (F.col("k") % 5 == 0))).withColumn("price", price))
+    snapshots.refresh(first, path)
+    touched = snapshots.refresh(second, path)
+    now = spark.read.schema("k long, price double, month date").parquet(f"{path}/rows").groupBy("month").agg(F.count("*").alias("rows"), F.sum("price").alias("price"))
+    out = first.select("month").distinct().join(touched.withColumn("rewritten", F.lit(True)), "month", "left").join(now, "month", "left").fillna(0, ["added", "removed", "rows", "price"])
+    return out.select("month", "added", "removed", F.coalesce("rewritten", F.lit(False)).alias("rewritten"), "rows", F.round("price", 2).alias("price"))
+
+
 @query("SELECT o_orderkey, 'orders' AS _source, TIMESTAMP '2024-06-15 00:00:00' AS _ingested_at FROM orders", ())
 def stamped_rows(spark: SparkSession, d: str) -> DataFrame:
     return readers.stamped(a.table(spark, d, "orders").select("o_orderkey"), "orders", F.lit("2024-06-15").cast("timestamp_ntz"))
@@ -117,6 +138,15 @@ def bus_stop_rows(spark: SparkSession, d: str) -> DataFrame:
     return _shown(readers.bus_stops(_collection(spark, _points(spark, d, BUS_STOP_NUM=F.when(k % 4 != 0, F.concat(F.lit(" "), k.cast("string"))).otherwise("")), "stops"), "x"))
 
 
+@query(f"SELECT 'bus' AS category, NULL::VARCHAR AS kind, 'Bus stop ' || s_suppkey AS name, s_suppkey::VARCHAR AS detail, {_XY} FROM supplier", ())
+def split_document_rows(spark: SparkSession, d: str) -> DataFrame:
+    """All suppliers in one document, of which every task reads a range of bytes."""
+    path = _path(spark, "one")
+    stops = _points(spark, d, BUS_STOP_NUM=F.col("s_suppkey").cast("string"))
+    _document(stops.coalesce(1), "features", F.struct(F.lit("Feature").alias("type"), "properties", F.struct("type", "coordinates").alias("geometry"))).write.text(path)
+    return _shown(readers.bus_stops(readers.geojson(spark, path, split_bytes=16 << 10), "x"))
+
+
 @query(f"SELECT 'hawker' AS category, NULL::VARCHAR AS kind, 'Old Airport Rd (Kato Ng)' AS name, 'Existing (new)' AS detail, {_XY} FROM supplier WHERE s_suppkey % 3 = 0", ())
 def hawker_rows(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("s_suppkey")

@@ -59,6 +59,10 @@ def monthly(spark: SparkSession, d: str) -> DataFrame:
     return market.market_monthly(sales, a.last_month(spark, d))
 
 
+def prices(spark: SparkSession, d: str) -> DataFrame:
+    return market.market_prices(stored(a.sales(spark, d).select("month", "town", "flat_type", "price")), a.last_month(spark, d))
+
+
 def _r(*names: str, n: int = 4) -> str:
     return ", ".join(f"floor({c} * 1e{n} + 0.50001) / 1e{n} AS {c}" for c in names)
 
@@ -375,6 +379,22 @@ def comparable_sales(spark: SparkSession, d: str) -> DataFrame:
     return rounded(comparables.find_comparables(t, s, last).select("target", "rank", "sale_id", "distance"), 6)
 
 
+_XY = "(103.65::DOUBLE + (block * 104729 % 10009) / 10009.0::DOUBLE * 0.35::DOUBLE - 103.8198::DOUBLE) * 111289.00473113023::DOUBLE AS x, (1.25::DOUBLE + (block * 7919 % 10007) / 10007.0::DOUBLE * 0.2::DOUBLE - 1.3521::DOUBLE) * 110574.0::DOUBLE AS y"
+
+
+@query("""SELECT target, rank, sale_id, round(distance, 6) AS distance FROM (SELECT t.sale_id AS target, s.sale_id, sqrt(d ** 2 + (sqrt((t.x - s.x) ** 2 + (t.y - s.y) ** 2) / 600) ** 2) AS distance, row_number() OVER (PARTITION BY t.sale_id ORDER BY sqrt(d ** 2 + (sqrt((t.x - s.x) ** 2 + (t.y - s.y) ** 2) / 600) ** 2), s.month DESC, s.sale_id) AS rank FROM t JOIN recent s USING (town, flat_type), LATERAL (SELECT sqrt(((t.area - s.area) / 10) ** 2 + ((t.storey_mid - s.storey_mid) / 6) ** 2 + ((t.lease_year - s.lease_year) / 8) ** 2 + (datediff('month', s.month, last) / 12) ** 2) + CASE WHEN t.flat_model <> s.flat_model THEN 0.25 ELSE 0 END AS d)) WHERE rank <= 5""",
+       (SALES, f"recent AS (SELECT sales.*, {_XY}, last FROM sales, ends WHERE month > last - to_months(24) AND month <= last)", "t AS (SELECT * EXCLUDE (last) FROM recent WHERE month = last)"))
+def comparable_sales_near(spark: SparkSession, d: str) -> DataFrame:
+    """Comparable sales for which the metres between the two blocks count too."""
+    last = a.last_month(spark, d)
+    places = spatial.with_metres(a.blocks(spark, d)).select("block", "x_m", "y_m")
+    s = a.sales(spark, d).where((F.col("month") > F.add_months(F.lit(last), -24)) & (F.col("month") <= F.lit(last))).join(places, "block")
+    s = stored(s.select("sale_id", "month", "town", "flat_type", "flat_model", "area", "storey_mid", "lease_year", "price", "x_m", "y_m"))
+    named = {"sale_id": "target", "area": "t_area", "storey_mid": "t_storey", "lease_year": "t_lease", "flat_model": "t_model", "x_m": "t_x", "y_m": "t_y"}
+    t = s.where(F.col("month") == F.lit(last)).select("town", "flat_type", *[F.col(c).alias(n) for c, n in named.items()])
+    return rounded(comparables.find_comparables(t, s, last).select("target", "rank", "sale_id", "distance"), 6)
+
+
 @query("""SELECT town, flat_type, sales, area, area_p5, area_p95, area_min, area_max, storey_median, lease_year, model, storey FROM (SELECT town, flat_type, count(*) AS sales, quantile_cont(area, 0.5) AS area, round(quantile_cont(area, 0.05), 4) AS area_p5, round(quantile_cont(area, 0.95), 4) AS area_p95, min(area) AS area_min, max(area) AS area_max, quantile_cont(storey_mid, 0.5) AS storey_median, quantile_cont(lease_year, 0.5)::DOUBLE AS lease_year FROM sales GROUP BY ALL)
  JOIN (SELECT town, flat_type, flat_model AS model FROM (SELECT town, flat_type, flat_model, row_number() OVER (PARTITION BY town, flat_type ORDER BY count(*) DESC, flat_model) AS r FROM sales GROUP BY town, flat_type, flat_model) WHERE r = 1) USING (town, flat_type)
  JOIN (SELECT town, flat_type, storey FROM (SELECT town, flat_type, storey_mid AS storey, row_number() OVER (PARTITION BY town, flat_type ORDER BY abs(storey_mid - m), storey_mid) AS r FROM (SELECT DISTINCT town, flat_type, storey_mid FROM sales) JOIN (SELECT town, flat_type, quantile_cont(storey_mid, 0.5) AS m FROM sales GROUP BY ALL) USING (town, flat_type)) WHERE r = 1) USING (town, flat_type)""")
@@ -390,7 +410,7 @@ feat AS (SELECT *, CASE WHEN count(y) OVER (w ROWS 2 PRECEDING) = 3 THEN avg(y)
 
 @query("SELECT * FROM elig", (SALES, MONTHLY, ELIGIBLE))
 def eligible_series(spark: SparkSession, d: str) -> DataFrame:
-    return forecast.eligible_series(monthly(spark, d))
+    return forecast.eligible_series(prices(spark, d))
 
 
 _NAMES = ("y", "level", "slope", "dev_1", "ret_1", "ret_2", "ret_3", "ret_6", "ret_12", "ma3_vs_ma6", "ma3_vs_ma12", "volume", "volume_change", "national_ret_3", "national_ret_12")
@@ -399,12 +419,12 @@ _NAMES = ("y", "level", "slope", "dev_1", "ret_1", "ret_2", "ret_3", "ret_6", "r
 @query(f"""SELECT town, flat_type, month, {', '.join(f'floor({c} * 1e6 + 0.50001) / 1e6 AS {c}' for c in _NAMES)} FROM (SELECT f.*, y - level AS dev_1, level - mean_6m AS ma3_vs_ma6, level - mean_12m AS ma3_vs_ma12, ln(1 + sales_3m) AS volume, ln(1 + sales_3m) - lag(ln(1 + sales_3m), 12) OVER (PARTITION BY town, flat_type ORDER BY month) AS volume_change, national_ret_3, national_ret_12
  FROM feat f LEFT JOIN (SELECT month, ret_3 AS national_ret_3, ret_12 AS national_ret_12 FROM feat WHERE town = 'ALL' AND flat_type = 'ALL') USING (month))""", (SALES, MONTHLY, FEATURES))
 def series_features(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(forecast.series_features(monthly(spark, d)).select("town", "flat_type", "month", *_NAMES), 6)
+    return rounded(forecast.series_features(prices(spark, d)).select("town", "flat_type", "month", *_NAMES), 6)
 
 
 @query("SELECT town, flat_type, month, floor(slope * 1e6 + 0.50001) / 1e6 AS slope, floor((mean24 + slope * 11.5) * 1e6 + 0.50001) / 1e6 AS fit FROM feat WHERE slope IS NOT NULL", (SALES, MONTHLY, FEATURES))
 def trend_fit(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(forecast.series_features(monthly(spark, d)).where("slope is not null").select("town", "flat_type", "month", "slope", "fit"), 6)
+    return rounded(forecast.series_features(prices(spark, d)).where("slope is not null").select("town", "flat_type", "month", "slope", "fit"), 6)
 
 
 FOLDS = FEATURES + """, tests AS (SELECT f.town, f.flat_type, f.month AS origin_month, h AS horizon, f.sales_3m, g.y_observed AS y_target, f.y AS last_value, f.level AS mean_3m, coalesce(f.mean24 + f.slope * 11.5 + f.slope * h, f.level) AS trend_24m FROM feat f, ends, unnest(range(1, 7)) u(h) JOIN feat g ON g.town = f.town AND g.flat_type = f.flat_type AND g.month = f.month + to_months(h::INT)
@@ -413,7 +433,7 @@ errs AS (SELECT *, exp(p) AS predicted, exp(y_target) AS actual, abs(exp(p) / ex
 
 
 def backtest(spark: SparkSession, d: str) -> DataFrame:
-    return forecast.errors(forecast.backtest_rows(forecast.feature_rows(forecast.series_features(monthly(spark, d))), a.last_month(spark, d)))
+    return forecast.errors(forecast.backtest_rows(forecast.feature_rows(forecast.series_features(prices(spark, d))), a.last_month(spark, d)))
 
 
 @query("SELECT method, town, flat_type, origin_month, horizon, round(predicted, 3) AS predicted, round(actual, 3) AS actual FROM errs", (SALES, MONTHLY, FOLDS))
@@ -448,7 +468,7 @@ def method_comparison(spark: SparkSession, d: str) -> DataFrame:
 
 
 def outlook(spark: SparkSession, d: str) -> DataFrame:
-    rows, last = stored(forecast.feature_rows(forecast.series_features(monthly(spark, d)))), a.last_month(spark, d)
+    rows, last = stored(forecast.feature_rows(forecast.series_features(prices(spark, d)))), a.last_month(spark, d)
     return forecast.published(rows, forecast.errors(forecast.backtest_rows(rows, last)), last)
 
 
@@ -457,11 +477,50 @@ def forecast_published(spark: SparkSession, d: str) -> DataFrame:
     return rounded(outlook(spark, d).select("town", "flat_type", "horizon", "target_month", "tier", "method", "recent", "forecast", "lower", "upper"))
 
 
+@query("""SELECT town, flat_type, horizon, round_even((forecast / recent - 1) * 100, 2) AS change_pct, CASE WHEN abs((forecast / recent - 1) * 100) < 1.5 THEN 'stable' WHEN forecast > recent THEN 'up' ELSE 'down' END AS direction, "lower" < recent AND recent < "upper" AS uncertain,
+ CASE WHEN abs((forecast / recent - 1) * 100) < 1.5 THEN 'hardly any change' ELSE CASE WHEN abs((forecast / recent - 1) * 100) < 4 THEN 'a slight ' ELSE 'a ' END || CASE WHEN forecast > recent THEN 'increase' ELSE 'decrease' END || format(' of {:.1f}% until ', abs((forecast / recent - 1) * 100)) || strftime(target_month, '%b %Y') END
+ || format('; expected between {:,} and {:,}', "lower"::BIGINT, "upper"::BIGINT) || CASE WHEN "lower" < recent AND recent < "upper" AND abs((forecast / recent - 1) * 100) >= 1.5 THEN ', so prices could also go the other way' ELSE '' END AS reading FROM published""", (SALES, MONTHLY, FOLDS, TIERS, PUBLISHED))
+def forecast_reading(spark: SparkSession, d: str) -> DataFrame:
+    """What each published forecast says in words."""
+    return rounded(outlook(spark, d).select("town", "flat_type", "horizon", "change_pct", "direction", "uncertain", "reading"))
+
+
+#: Trees of the registered boosted forecasts; published settings are 300. The README has times.
+FORECAST_TREES = 20
+ALL_METHODS = (*forecast.METHODS, "boosted")
+
+
+def _with_boosted(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(feature rows, boosted predictions, errors of all four methods)."""
+    rows, last = stored(forecast.feature_rows(forecast.series_features(prices(spark, d)))), a.last_month(spark, d)
+    predictions = stored(forecast.boosted(rows, last, trees=FORECAST_TREES))
+    return rows, predictions, forecast.errors(forecast.with_boosted(forecast.backtest_rows(rows, last), predictions), ALL_METHODS)
+
+
+@query("SELECT method, horizon, count(*) AS n, count(DISTINCT origin_month) AS origins, count(DISTINCT town || flat_type) AS series, round(sum(exp(y_target)), 2) AS actual FROM tests, (SELECT unnest(['last_value', 'mean_3m', 'trend_24m', 'boosted']) AS method) GROUP BY ALL", (SALES, MONTHLY, FOLDS))
+def backtest_coverage(spark: SparkSession, d: str) -> DataFrame:
+    """Every method, fitted ones too, is judged on the same forecasts of every fold."""
+    long = _with_boosted(spark, d)[2].where("predicted > 0")
+    return long.groupBy("method", "horizon").agg(F.count("*").alias("n"), F.count_distinct("origin_month").alias("origins"), F.count_distinct(F.concat("town", "flat_type")).alias("series"), F.round(F.sum("actual"), 2).alias("actual"))
+
+
+@query()
+def all_methods_comparison(spark: SparkSession, d: str) -> DataFrame:
+    """The closed forms and the boosted trees in one backtest, one of which is selected."""
+    return forecast.compared(forecast.scorecard(_with_boosted(spark, d)[2]))
+
+
+@query()
+def forecast_selected(spark: SparkSession, d: str) -> DataFrame:
+    """Forecasts by whichever of the four methods has the lowest backtest error."""
+    rows, predictions, long = _with_boosted(spark, d)
+    return forecast.published(rows, long, a.last_month(spark, d), ALL_METHODS, predictions)
+
+
 @query()
 def forecast_gbt(spark: SparkSession, d: str) -> DataFrame:
-    """The reference's trees are 300; 20 keep seven fits within minutes on one machine."""
-    rows, last = forecast.feature_rows(forecast.series_features(monthly(spark, d))), a.last_month(spark, d)
-    return forecast.boosted(rows, last, trees=20)
+    rows, last = forecast.feature_rows(forecast.series_features(prices(spark, d))), a.last_month(spark, d)
+    return forecast.boosted(rows, last, trees=FORECAST_TREES)
 
 
 @query(f"""SELECT count(*) AS n, round(avg(abs(p - price)), 4) AS mae, round(avg(abs(p / price - 1) * 100), 4) AS mape FROM (SELECT s.price, coalesce(x, y, z) * s.area AS p FROM (SELECT sales.* FROM sales, ends WHERE month > last - to_months(6) AND month <= last) s LEFT JOIN (SELECT town, flat_type, quantile_cont(psm, 0.5) AS x FROM tr GROUP BY ALL) USING (town, flat_type) LEFT JOIN (SELECT flat_type, quantile_cont(psm, 0.5) AS y FROM tr GROUP BY ALL) USING (flat_type), (SELECT quantile_cont(psm, 0.5) AS z FROM tr))""", (SALES, "tr AS (SELECT sales.* FROM sales, ends WHERE month > last - to_months(18) AND month <= last - to_months(6))"))

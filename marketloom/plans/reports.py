@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marketloom.functions import numbers
-from marketloom.operators import comparables, market, nearby, pricing, reports
+from marketloom.operators import artefact, comparables, market, nearby, pricing, reports
 from marketloom.plans import adapter as a
 from marketloom.plans.geography import GEO, LOCATED, TYPICAL, located, typical
 from marketloom.plans.queries import (
     _EV, _IN, ASSESS, EVENT, FOLDS, MONTHLY, PUBLISHED, REFERENCE_TYPE, SALES, SUMMARY, TIERS, _duty, kpis_sql, monthly, outlook, query, rounded, town_summary,
 )
-from marketloom.sources.scratch import stored
+from marketloom.sources.scratch import shared_folder, stored
 
 _KPIS = ("median_3m", "median_prev3m", "median_3m_year_ago", "median_psm", "sales_3m", "sales_prev3m", "sales_3m_year_ago", "sales_12m", "sales_prev12m", "quarter_pct", "year_pct", "volume_pct")
 _STUDY = (*[f"{x}_{n}" for n in _EV for x in ("median", "sales")], "change_pct", "trend_pct")
@@ -168,7 +170,7 @@ def refused_inputs(spark: SparkSession, d: str) -> DataFrame:
     return pricing.refused(flats).select("flat", "refused")
 
 
-#: Trees of the registered models; the reference's are 500, which would take an hour on one machine.
+#: Trees of the registered models; published settings are 500. The README has times.
 TREES = 12
 
 
@@ -185,9 +187,14 @@ def sales_with_location(spark: SparkSession, d: str) -> DataFrame:
     return s.agg(F.count("*").alias("sales"), F.count("mrt_m").alias("placed"), *[F.round(F.avg(c), 3).alias(c) for c in ("mrt_m", "city_km", "bus_stops_400m")])
 
 
-def _predictions(spark: SparkSession, d: str) -> DataFrame:
+def _stored_frame(spark: SparkSession, d: str) -> tuple[DataFrame, list[str]]:
     frame, location = model_frame(spark, d)
-    return stored(pricing.holdout_predictions(frame, a.last_month(spark, d), location, TREES))
+    return stored(frame), location
+
+
+def _predictions(spark: SparkSession, d: str) -> DataFrame:
+    frame, location = _stored_frame(spark, d)
+    return pricing.compete(frame, a.last_month(spark, d), location, TREES)[1]
 
 
 @query()
@@ -195,6 +202,17 @@ def price_model(spark: SparkSession, d: str) -> DataFrame:
     return pricing.compare_models(_predictions(spark, d))
 
 
+MODEL_ROWS = f"""placed AS (SELECT s.*, g.mrt_m FROM sales s LEFT JOIN gfeat g USING (block), ends WHERE month <= last AND flat_type NOT IN ('1 ROOM', 'MULTI-GENERATION')),
+held AS (SELECT placed.* FROM placed, ends WHERE month > last - to_months(6))"""
+
+
+@query("SELECT model, flat_type, count(*) AS n, min(month) AS first_month, max(month) AS last_month, round(sum(price), 2) AS price FROM held, (SELECT unnest(['rule_of_thumb', 'ridge', 'boosting', 'boosting_flat_only']) AS model) GROUP BY ALL", (SALES, GEO, LOCATED, MODEL_ROWS))
+def price_model_rows(spark: SparkSession, d: str) -> DataFrame:
+    """What the models are compared on: every one of them predicts every held-out sale, and nothing else."""
+    out = _predictions(spark, d).where("predicted > 0").groupBy("model", "flat_type")
+    return out.agg(F.count("*").alias("n"), F.min("month").alias("first_month"), F.max("month").alias("last_month"), F.round(F.sum("price"), 2).alias("price"))
+
+
 @query()
 def price_ranges(spark: SparkSession, d: str) -> DataFrame:
     return pricing.price_ranges(_predictions(spark, d))
@@ -202,22 +220,27 @@ def price_ranges(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def permutation_importance(spark: SparkSession, d: str) -> DataFrame:
-    frame, location = model_frame(spark, d)
-    frame = stored(frame)
-    train, test = pricing.split(frame, a.last_month(spark, d))
-    numeric = [*pricing.NUMERIC, *location]
-    return pricing.permutation_importance(pricing.boosting(numeric, TREES, gaps=tuple(location)).fit(train), test, [*pricing.CATEGORIES, *numeric])
+    """Of the selected model, fitted on the sales before the last six months."""
+    frame, location = _stored_frame(spark, d)
+    last = a.last_month(spark, d)
+    models, predictions = pricing.compete(frame, last, location, TREES)
+    name = pricing.selected(pricing.compare_models(predictions))
+    numeric = [*pricing.NUMERIC, *([] if name == "boosting_flat_only" else location)]
+    return pricing.permutation_importance(models[name], pricing.split(frame, last)[1], [*pricing.CATEGORIES, *numeric])
 
 
 @query()
 def valuation_report(spark: SparkSession, d: str) -> DataFrame:
-    """The last month's sales as flats to value, their prices as asking prices; the model has learnt from all sales before the last six months."""
-    frame, location = model_frame(spark, d)
-    frame, last = stored(frame), a.last_month(spark, d)
-    train, test = pricing.split(frame, last)
-    model = pricing.boosting([*pricing.NUMERIC, *location], TREES, gaps=tuple(location)).fit(train)
-    ranges = pricing.price_ranges(pricing.predict(model, test).withColumn("model", F.lit("boosting")))
-    flats = test.where(F.col("month") == F.lit(last)).select(F.col("sale_id").alias("flat"), "town", "flat_type", F.col("price").alias("asking"), *pricing.SWAPPED, *location)
+    """The last month's sales as flats to value, their prices as asking prices, by a saved model: the one selected on the last
+    six months and fitted again on all sales; with each flat's comparable sales."""
+    frame, location = _stored_frame(spark, d)
+    last, folder = a.last_month(spark, d), f"{shared_folder(spark)}/price-models-{uuid.uuid4().hex}"
+    artefact.publish(frame, market.market_index(frame, last), last, location, folder, TREES)
+    m = artefact.load(spark, folder)
+    flats = frame.where(F.col("month") == F.lit(last))
+    asked = flats.select(F.col("sale_id").alias("flat"), "town", "flat_type", F.col("price").alias("asking"), *pricing.SWAPPED, *m.location)
     usual = comparables.typical_flats(frame).select("town", "flat_type", F.col("area").alias("typical_area"), F.col("storey").alias("typical_storey_mid"), F.col("lease_year").cast("int").alias("typical_lease_year"), F.col("model").alias("typical_flat_model"))
-    places = frame.groupBy("town", "flat_type").agg(*[numbers.median(F.col(c)).alias(f"typical_{c}") for c in location])
-    return pricing.valuation(model, flats, usual.join(places, ["town", "flat_type"]), market.market_index(frame, last), ranges, location, start_year=1995)
+    places = frame.groupBy("town", "flat_type").agg(*[numbers.median(F.col(c)).alias(f"typical_{c}") for c in m.location])
+    valued = pricing.valuation(m.model, asked, usual.join(places, ["town", "flat_type"]), m.index, m.ranges, m.location, start_year=1995)
+    targets = flats.select(F.col("sale_id").alias("target"), "town", "flat_type", F.col("area").alias("t_area"), F.col("storey_mid").alias("t_storey"), F.col("lease_year").alias("t_lease"), F.col("flat_model").alias("t_model"))
+    return pricing.with_comparables(valued, comparables.find_comparables(targets, frame, last))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marketloom.functions.parsing import PARK_WORDS, proper_name
+from marketloom.sources.features import split_features
 
 PLACE = ["category", "kind", "name", "detail", "latitude", "longitude", "source"]
 COORDS = {"Point": "array<double>", "LineString": "array<array<double>>", "MultiLineString": "array<array<array<double>>>", "Polygon": "array<array<array<double>>>", "MultiPolygon": "array<array<array<array<double>>>>"}
@@ -63,11 +64,14 @@ def year_series(spark: SparkSession, path: str, series: str) -> DataFrame:
     return rows.select(F.col("c.key").try_cast("int").alias("year"), F.col("c.value").try_cast("double").alias("value")).where("year is not null and value is not null")
 
 
-def geojson(spark: SparkSession, path: str) -> DataFrame:
-    """(properties, type, coordinates as JSON text) of every feature."""
-    doc = spark.read.text(path, wholetext=True)
-    features = F.from_json(F.get_json_object("value", "$.features"), "array<string>")
-    f = doc.select(F.explode(features).alias("f"))
+def geojson(spark: SparkSession, path: str, split_bytes: int | None = None) -> DataFrame:
+    """(properties, type, coordinates as JSON text) of every feature. With ``split_bytes`` several tasks read each document, by
+    ranges of so many bytes; without, a document is one task, but any path will do that Spark can read."""
+    if split_bytes:
+        f = split_features(spark, path, split_bytes).withColumnRenamed("feature", "f")
+    else:
+        doc = spark.read.text(path, wholetext=True)
+        f = doc.select(F.explode(F.from_json(F.get_json_object("value", "$.features"), "array<string>")).alias("f"))
     return f.select(F.from_json(F.get_json_object("f", "$.properties"), "map<string,string>").alias("properties"), F.get_json_object("f", "$.geometry.type").alias("type"), F.get_json_object("f", "$.geometry.coordinates").alias("coordinates"))
 
 
