@@ -116,11 +116,11 @@ def values_inside(counts: DataFrame, wanted: DataFrame, keys: list[str], totals:
     return out
 
 
-def at_place(parts: DataFrame, ranks_: DataFrame, by: str) -> DataFrame:
+def at_place(parts: DataFrame, ranks_: DataFrame, small: bool, by: str) -> DataFrame:
     """The row of parts (gid, by, n) in which the place ``within`` of each gid lies, with what ranks_ knows of it; _before: n of the rows before it."""
     cum = parts.withColumn("_to", F.sum("n").over(Window.partitionBy("gid").orderBy(by)))
     facts = ranks_.select("gid", "within", "rank", "total")
-    met = cum.join(F.broadcast(facts) if ranks_.count() <= MOST_WANTED else facts, "gid")
+    met = cum.join(F.broadcast(facts) if small else facts, "gid")
     return met.where((F.col("within") < F.col("_to")) & (F.col("within") >= F.col("_to") - F.col("n"))).withColumn("_before", F.col("_to") - F.col("n"))
 
 
@@ -149,14 +149,16 @@ def quantiles(counts: DataFrame, keys: list[str], spans: dict[str, Span], *, tot
         return stored(met.select("gid", "measure", "month", *keys, "bin"))
 
     wanted = dated(found)
-    while (found.agg(F.max("size")).first()[0] or 0) > MOST_VALUES and bins < BINS * 256**5:
+    n, largest = found.agg(F.count("*"), F.max("size")).first()
+    small = n <= MOST_WANTED
+    while (largest or 0) > MOST_VALUES and bins < BINS * 256**5:
         finer = bins * 256
         parts = values_inside(counts, wanted, keys, totals, bins).groupBy("gid", bin_of(F.col("value"), finer).alias("bin")).agg(F.sum("n").alias("n"))
-        here = at_place(parts, found, "bin").select("gid", "bin", (F.col("within") - F.col("_before")).alias("within"), F.col("n").alias("size"))
+        here = at_place(parts, found, small, "bin").select("gid", "bin", (F.col("within") - F.col("_before")).alias("within"), F.col("n").alias("size"))
         found, bins = stored(found.drop("bin", "within", "size").join(here, "gid")), finer
-        wanted = dated(found)
+        wanted, largest = dated(found), found.agg(F.max("size")).first()[0]
     merged = values_inside(counts, wanted, keys, totals, bins).groupBy("gid", "value").agg(F.sum("n").alias("n"))
-    read = at_place(merged, found, "value").select("gid", "value")
+    read = at_place(merged, found, small, "value").select("gid", "value")
     at = found.join(read, "gid").groupBy(*group, "total").agg(F.map_from_entries(F.collect_list(F.struct("rank", "value"))).alias("_at"))
     out = F.array().cast("array<double>")
     for name, s in spans.items():

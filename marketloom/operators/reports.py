@@ -120,6 +120,27 @@ def comparison(groups: DataFrame, cards: DataFrame, most: int = 3) -> DataFrame:
     )
 
 
+def method_ranking(score: DataFrame) -> DataFrame:
+    """(horizon, rank, method, mape, n): the methods of each horizon (0: all of them) by their mean error, ties by name."""
+    place = F.row_number().over(Window.partitionBy("horizon").orderBy("mape", "method"))
+    return score.select("horizon", place.alias("rank"), "method", "mape", "n")
+
+
+def comparison_outlook(groups: DataFrame, published: DataFrame, monthly: DataFrame, last_month, months: int = 60, least: int = 5, flat_type: str = ALL) -> DataFrame:
+    """The outlook and the last ``months`` medians of each town of each group (group, town), for one type.
+
+    outlook: the farthest published forecast with its direction, null without one; series: an array of (month, price), in order, the
+    price null in months with fewer than ``least`` sales. Towns without any sale have an empty series.
+    """
+    mine = published.where(F.col("flat_type") == flat_type)
+    far = mine.groupBy("town").agg(F.max_by(F.struct("target_month", "recent", "forecast", "change_pct", "direction", "uncertain"), "horizon").alias("o"))
+    past = monthly.where((F.col("flat_type") == flat_type) & (F.col("month") > F.add_months(F.lit(last_month).cast("date"), -months)))
+    one = F.struct("month", F.when(F.col("transactions") >= least, F.col("median_price")).alias("price"))
+    series = past.groupBy("town").agg(F.sort_array(F.collect_list(one)).alias("series"))  # at most as many as months
+    out = groups.join(far, "town", "left").join(series, "town", "left")
+    return out.select("group", "town", "o.*", F.coalesce("series", F.array().cast(series.schema["series"].dataType)).alias("series"))
+
+
 def block_prefill(wanted: DataFrame, sales: DataFrame, last_month, keys: list[str], lease_term: int = 99) -> DataFrame:
     """What is known of each wanted (block keys, flat_type): the lease left next month by the block's newest sale (1 at least), the
     median area and commonest model of the type's sales there (nulls if none), and their number.

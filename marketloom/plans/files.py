@@ -233,14 +233,16 @@ def planning_areas(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT c_nationkey::BIGINT AS nation, count(*) * 2 AS rows FROM customer GROUP BY 1", ())
 def table_round_trip(spark: SparkSession, d: str) -> DataFrame:
-    """A table overwritten, then appended to, documented and read by name."""
+    """A table overwritten, then appended to, documented, read by name and dropped."""
     name = f"silver_t{uuid.uuid4().hex}"
     c = a.table(spark, d, "customer").select(F.col("c_nationkey").cast("long").alias("nation"))
     tables.write_table(c.limit(1), name)
     tables.write_table(c, name)
     tables.write_table(c, name, "append")
     tables.describe_table(spark, name, "customers' nations", "customer")
-    return tables.read_table(spark, name).groupBy("nation").agg(F.count("*").alias("rows"))
+    out = stored(tables.read_table(spark, name).groupBy("nation").agg(F.count("*").alias("rows")))
+    spark.sql(f"DROP TABLE {name}")
+    return out
 
 
 @query("SELECT c_nationkey::BIGINT AS nation, NULL::DOUBLE AS income FROM customer GROUP BY 1", ())

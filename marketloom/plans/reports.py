@@ -8,11 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marketloom.functions import numbers
-from marketloom.operators import artefact, comparables, market, nearby, pricing, reports
+from marketloom.operators import artefact, comparables, forecast, market, nearby, pricing, reports
 from marketloom.plans import adapter as a
 from marketloom.plans.geography import GEO, LOCATED, TYPICAL, located, typical
 from marketloom.plans.queries import (
-    _EV, _IN, ASSESS, EVENT, FOLDS, MONTHLY, PUBLISHED, REFERENCE_TYPE, SALES, SUMMARY, TIERS, _duty, kpis_sql, monthly, outlook, query, rounded, town_summary,
+    _EV, _IN, ASSESS, EVENT, FOLDS, MONTHLY, PUBLISHED, REFERENCE_TYPE, SALES, SUMMARY, TIERS, _duty, backtest, kpis_sql, monthly, outlook, prices, query, rounded, town_summary,
 )
 from marketloom.sources.scratch import shared_folder, stored
 
@@ -118,6 +118,22 @@ def compare_report(spark: SparkSession, d: str) -> DataFrame:
     return rounded(reports.comparison(groups, paid.join(access, "town", "left")))
 
 
+@query("SELECT horizon, row_number() OVER (PARTITION BY horizon ORDER BY mape, method) AS rank, method, round(mape, 4) AS mape, n FROM (SELECT method, CASE WHEN grouping(horizon) = 1 THEN 0 ELSE horizon END AS horizon, count(*) AS n, avg(ape) AS mape FROM errs GROUP BY GROUPING SETS ((method), (method, horizon)))", (SALES, MONTHLY, FOLDS))
+def method_ranking(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(reports.method_ranking(forecast.scorecard(backtest(spark, d))).withColumn("rank", F.col("rank").cast("long")))
+
+
+@query("""SELECT (n_nationkey % 9)::BIGINT AS "group", n_name AS town, target_month, recent, forecast, round_even((forecast / recent - 1) * 100, 2) AS change_pct, CASE WHEN abs((forecast / recent - 1) * 100) < 1.5 THEN 'stable' WHEN forecast > recent THEN 'up' WHEN forecast < recent THEN 'down' END AS direction, coalesce(months, 0) AS months, coalesce(known, 0) AS known, floor(mean_price * 1e3 + 0.50001) / 1e3 AS mean_price
+ FROM nation LEFT JOIN (SELECT * FROM published WHERE flat_type = 'ALL' AND horizon = 6) p ON p.town = n_name LEFT JOIN (SELECT town, count(*) AS months, count(*) FILTER (WHERE transactions >= 5) AS known, avg(median_price) FILTER (WHERE transactions >= 5) AS mean_price FROM monthly0 WHERE flat_type = 'ALL' AND month > (SELECT last FROM ends) - to_months(60) GROUP BY town) m ON m.town = n_name""", (SALES, MONTHLY, FOLDS, TIERS, PUBLISHED))
+def comparison_outlook(spark: SparkSession, d: str) -> DataFrame:
+    """The outlook of every nation in its group of up to three, and what its last 60 months hold."""
+    groups = a.table(spark, d, "nation").select((F.col("n_nationkey") % 9).cast("long").alias("group"), F.col("n_name").alias("town"))
+    out = reports.comparison_outlook(groups, outlook(spark, d), prices(spark, d), a.last_month(spark, d))
+    known = F.filter("series", lambda x: x["price"].isNotNull())
+    mean = F.aggregate(known, F.lit(0.0), lambda acc, x: acc + x["price"]) / F.when(F.size(known) > 0, F.size(known))
+    return out.select("group", "town", "target_month", "recent", "forecast", "change_pct", "direction", F.size("series").cast("long").alias("months"), F.size(known).cast("long").alias("known"), (F.floor(mean * 1e3 + 0.50001) / 1e3).alias("mean_price"))
+
+
 @query("""SELECT block, flat_type, greatest(1, round_even(99 - (year(nx) + (month(nx) - 1) / 12 - newest), 0))::DOUBLE AS lease_left, round_even(area, 0) AS area, flat_model, coalesce(n, 0) AS sales_of_type FROM (SELECT DISTINCT block, t AS flat_type FROM sales, unnest(['SMALL', 'LARGE']) u(t)) LEFT JOIN (SELECT block, max(lease_year) FILTER (WHERE month = top) AS newest FROM (SELECT *, max(month) OVER (PARTITION BY block) AS top FROM sales) GROUP BY block) USING (block)
  LEFT JOIN (SELECT block, flat_type, quantile_cont(area, 0.5) AS area, count(*) AS n FROM sales GROUP BY ALL) USING (block, flat_type) LEFT JOIN (SELECT block, flat_type, arg_min(flat_model, (-k, flat_model)) AS flat_model FROM (SELECT block, flat_type, flat_model, count(*) AS k FROM sales GROUP BY ALL) GROUP BY ALL) USING (block, flat_type), (SELECT (last + INTERVAL 1 MONTH)::DATE AS nx FROM ends)""", (SALES,))
 def block_prefill(spark: SparkSession, d: str) -> DataFrame:

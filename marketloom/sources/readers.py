@@ -18,9 +18,11 @@ def text_csv(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
 
 
 def paged_records(spark: SparkSession, path: str, record: str) -> DataFrame:
-    """Records of paged JSON responses, each ``_id`` once. record: DDL of a record without ``_id``."""
+    """Records of paged JSON responses in the order of their ``_id``, each once: as the first page has it, by the files' names, and there
+    the first of it. record: DDL of a record without ``_id``."""
     pages = spark.read.schema(f"records array<struct<_id: long, {record}>>").json(path)
-    return pages.select(F.explode("records").alias("r")).select("r.*").dropDuplicates(["_id"]).drop("_id")
+    each = pages.select(F.col("_metadata.file_path").alias("file"), F.posexplode("records").alias("at", "r"))
+    return each.groupBy("r._id").agg(F.min_by("r", F.struct("file", "at")).alias("r")).orderBy("_id").select("r.*").drop("_id")
 
 
 def schema_difference(df: DataFrame, expected: list[str]) -> tuple[list[str], list[str]]:
@@ -28,11 +30,6 @@ def schema_difference(df: DataFrame, expected: list[str]) -> tuple[list[str], li
     return [c for c in expected if c not in df.columns], [c for c in df.columns if c not in expected]
 
 
-def reconcile(df: DataFrame, stated: int) -> dict:
-    n = df.count()
-    return {"rows": n, "stated": stated, "complete": n == stated}
-
-
 def reconcile_by(df: DataFrame, stated: DataFrame, by: str) -> DataFrame:
     """(by, rows, stated, complete) of each source: its rows against the number that it states."""
     return stated.join(df.groupBy(by).agg(F.count("*").alias("rows")), by, "left").select(by, F.coalesce("rows", F.lit(0)).alias("rows"), "stated", (F.coalesce("rows", F.lit(0)) == F.col("stated")).alias("complete"))

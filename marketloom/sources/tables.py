@@ -38,6 +38,13 @@ def describe_table(spark: SparkSession, name: str, comment: str, source: str) ->
     spark.sql(f"ALTER TABLE {name} SET TBLPROPERTIES ('layer' = '{name.split('_')[0]}', 'source' = '{quoted(source)}')")
 
 
+def table_facts(spark: SparkSession, name: str) -> dict[str, str]:
+    """What ``describe_table`` has noted: comment, layer and source (those that are set)."""
+    facts = {r["key"]: r["value"] for r in spark.sql(f"SHOW TBLPROPERTIES {checked(name)}").collect() if r["key"] in ("layer", "source")}
+    comment = spark.sql(f"DESCRIBE TABLE EXTENDED {name}").where("col_name = 'Comment'").first()
+    return facts | ({"comment": comment["data_type"]} if comment else {})
+
+
 def publish(tables: dict[str, tuple[DataFrame, list[str]]], folder: str) -> DataFrame:
     """Write each table's serving columns as Parquet below folder; the manifest (table, rows) is written as JSON and returned."""
     spark = next(iter(tables.values()))[0].sparkSession

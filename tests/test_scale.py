@@ -11,9 +11,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from marketloom.config import Comparables, Quality
-from marketloom.operators import artefact, clean, comparables, distribution, market, neighbours, pricing, spatial
+from marketloom.operators import artefact, clean, comparables, distribution, forecast, market, neighbours, pricing, reports, spatial
 from marketloom.operators.distribution import Span, counted, every_month, only, quantiles, this_and_next
-from marketloom.sources import features, readers, snapshots
+from marketloom.sources import readers, snapshots, tables
 
 ALL = "ALL"
 
@@ -261,3 +261,68 @@ def test_market_tables_by_counts(spark):
         s = p[p.month.isin(near) & ((p.town == x.town) | (x.town == ALL)) & ((p.flat_type == x.flat_type) | (x.flat_type == ALL))]
         assert (x.pooled_median, x.pooled_count) == (s.price.median(), len(s))
     assert (got.groupby(["month", "town", "flat_type"]).size() == 1).all()
+
+
+def test_all_methods_are_judged_alike(spark):
+    r = random.Random(11)
+    rows = [(m, t, k, 300.0 + 5 * i + 40 * (k == "y") + r.uniform(-9, 9)) for i, m in enumerate(months(48)) for t in "ab" for k in "xy" for _ in range(8)]
+    sales, last = spark.createDataFrame(rows, "month date, town string, flat_type string, price double"), months(48)[-1]
+    table = market.market_prices(sales, last)
+    assert table.count() == 9 * 48 and table.where("transactions = 0").count() == 0
+    features = forecast.feature_rows(forecast.series_features(table)).cache()
+    predictions = forecast.boosted(features, last, trees=2).cache()
+    methods = (*forecast.METHODS, "boosted")
+    long = forecast.errors(forecast.with_boosted(forecast.backtest_rows(features, last), predictions), methods)
+    compared = {x["method"]: x for x in forecast.compared(forecast.scorecard(long)).collect()}
+    assert set(compared) == set(methods) and len({x["n"] for x in compared.values()}) == 1 and sum(x["selected"] for x in compared.values()) == 1
+    assert compared["trend_24m"]["selected"]  # prices climb in a line
+    ranks = reports.method_ranking(forecast.scorecard(long)).where("horizon = 0").orderBy("rank").collect()
+    assert [x["rank"] for x in ranks] == [1, 2, 3, 4] and ranks[0]["method"] == "trend_24m" and [x["mape"] for x in ranks] == sorted(x["mape"] for x in ranks)
+    # a backtest in which the trees alone are right selects them, and they are published
+    best = long.withColumn("ape", F.when(F.col("method") == "boosted", F.lit(0.0)).otherwise(F.col("ape")))
+    out = forecast.published(features, best, last, methods, predictions)
+    got = {(x["town"], x["flat_type"], x["horizon"]): (x["method"], x["forecast"]) for x in out.collect()}
+    want = {(x["town"], x["flat_type"], x["horizon"]): ("boosted", round(math.exp(x["boosted"]) / 1000) * 1000.0) for x in predictions.where(F.col("origin_month") == F.lit(last)).collect()}
+    assert got == want and len(got) == 9 * 6
+
+
+def test_outlook_of_towns(spark):
+    groups = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c")], "group int, town string")
+    published = spark.createDataFrame([("a", "ALL", h, months(50)[40 + h], 100.0, 100.0 + h, float(h), "up", False) for h in (1, 6)] + [("b", "x", 6, months(50)[46], 1.0, 1.0, 0.0, "stable", True)], "town string, flat_type string, horizon int, target_month date, recent double, forecast double, change_pct double, direction string, uncertain boolean")
+    monthly = spark.createDataFrame([(m, "a", "ALL", 9 if i % 2 else 1, float(i)) for i, m in enumerate(months(41))] + [(months(41)[-1], "b", "x", 9, 1.0)], "month date, town string, flat_type string, transactions int, median_price double")
+    got = {x["town"]: x for x in reports.comparison_outlook(groups, published, monthly, months(41)[-1], months=12).collect()}
+    assert (got["a"]["target_month"], got["a"]["forecast"], got["a"]["direction"]) == (months(50)[46], 106.0, "up")
+    assert [x["price"] for x in got["a"]["series"]] == [float(i) if i % 2 else None for i in range(29, 41)]
+    assert got["b"]["forecast"] is None and got["b"]["series"] == got["c"]["series"] == []
+
+
+def test_notes_of_a_table_are_read_back(spark):
+    spark.sql("DROP TABLE IF EXISTS gold_notes")
+    tables.write_table(spark.range(3), "gold_notes")
+    assert tables.table_facts(spark, "gold_notes") == {}
+    tables.describe_table(spark, "gold_notes", "it's a \\ test", "range")
+    assert tables.table_facts(spark, "gold_notes") == {"comment": "it's a \\ test", "layer": "gold", "source": "range"}
+    spark.sql("DROP TABLE gold_notes")
+
+
+def test_facets_are_validated(spark):
+    df = spark.createDataFrame([("a",), ("b",)], "town string")
+    assert market.validate_facet(df, "town", "a") == "a" and market.validate_facet(df, "town", ALL) == ALL
+    with pytest.raises(ValueError):
+        market.validate_facet(df, "town", "z")
+
+
+def test_the_first_page_of_a_record_counts(spark, tmp_path):
+    for page, records in (("p1", [(2, "two"), (1, "one")]), ("p2", [(1, "late"), (3, "three"), (3, "again")])):
+        (tmp_path / f"{page}.json").write_text(json.dumps({"records": [{"_id": i, "name": n} for i, n in records]}))
+    assert [x["name"] for x in readers.paged_records(spark, str(tmp_path), "name: string").collect()] == ["one", "two", "three"]
+
+
+def test_missing_buildings_take_their_streets_place(spark):
+    """Every outline of the registered query is there; here one home's is not."""
+    from marketloom.operators import matching
+
+    home = spark.createDataFrame([("t", b, "ABC ST") for b in ("1", "2", "3")], "town string, block string, street_name string")
+    built = spark.createDataFrame([(b, "ABS0", float(b), 100.0) for b in ("1", "2")], "block string, street_code string, latitude double, longitude double")
+    got = {x["block"]: x["location_source"] for x in matching.match_addresses(home, built).collect()}
+    assert got["1"] == got["2"] == "building" and got["3"] in ("street", "town")
