@@ -32,7 +32,7 @@ def nearest_k(left: DataFrame, right: DataFrame, left_id: str, coords: list[tupl
     given = lambda df, cols: df.where(" and ".join([f"{c} is not null" for c in by] + [f"{c} is not null and not isnan(cast({c} as double))" for c in cols]))
     left, right = given(left, [a for a, _ in coords]), given(right, [b for _, b in coords])
     ends = [df.agg(*[f(c).cast("double") for c in cols for f in (F.min, F.max)]).first() for df, cols in ((left, [a for a, _ in coords]), (right, [b for _, b in coords]))]
-    if None in ends[0] or None in ends[1]:
+    if None in [*ends[0], *ends[1]]:
         return left.select(*key).where("false").crossJoin(right.select(*names).where("false")).select(*key, F.lit(0).alias("rank"), F.lit(0.0).alias("distance"), *names)
     span = max(1e-9, max(max(a, b) - min(c, d) for a, b, c, d in ((ends[0][2 * i + 1], ends[1][2 * i + 1], ends[0][2 * i], ends[1][2 * i]) for i in range(len(coords))))) * 1.0001
     levels = min(40, max(0, math.ceil(math.log2(span / least_side))))
