@@ -70,7 +70,7 @@ def affordability_report(households: DataFrame, summary: DataFrame, benchmark: D
     out = affordability.assess(h, F.col("price"), F.col("income"), F.col("savings"), loan)
     out = out.withColumn("budget", numbers.max_price(F.col("income"), F.col("savings"), loan, F.col("own_limit")))
     latest = benchmark.agg(F.max_by("income", "year").alias("_benchmark"))
-    out = out.join(F.broadcast(latest)).withColumn("income_vs_benchmark_pct", F.bround((F.col("income") / F.col("_benchmark") - 1) * 100, 1)).drop("_benchmark")
+    out = out.join(F.broadcast(latest)).withColumn("income_vs_benchmark_pct", F.bround((F.col("income") - F.col("_benchmark")) * 100 / F.col("_benchmark"), 1)).drop("_benchmark")
     towns = summary.where((F.col("town") != ALL) & (F.col("sales_12m") >= least)).select("flat_type", F.col("median_12m").alias("_price"))
     cap = F.when(F.col("own_limit") > 0, F.least(F.col("income") * loan.repayment_limit, F.col("own_limit"))).otherwise(F.col("income") * loan.repayment_limit)
     # towns are few; those of the household's type are assessed for it
