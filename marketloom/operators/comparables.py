@@ -24,10 +24,11 @@ def find_comparables(targets: DataFrame, sales: DataFrame, last_month, c: Compar
     recent = sales.where((F.col("month") > F.add_months(last, -c.months)) & (F.col("month") <= last)).select(*same, "month", "sale_id", "price")
     first = Window.partitionBy(*same).orderBy(F.desc("month"), "sale_id")
     scaled = {"_a": F.col("area") / c.area, "_s": F.col("storey_mid") / c.storey, "_l": F.col("lease_year") / c.lease}
-    kept = recent.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= c.top).withColumns(scaled).drop("_n", "area", "storey_mid", "lease_year")
+    kept = recent.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= c.top).withColumns(scaled).drop("_n")
     asked = targets.withColumns({"t_a": F.col("t_area") / c.area, "t_s": F.col("t_storey") / c.storey, "t_l": F.col("t_lease") / c.lease})
-    asked = asked.select("target", "town", "flat_type", "t_a", "t_s", "t_l", "t_model", *(["t_x", "t_y"] if origin else []))
-    parts = [F.col("t_a") - F.col("_a"), F.col("t_s") - F.col("_s"), F.col("t_l") - F.col("_l"), F.months_between(last, F.col("month")) / c.recency]
+    asked = asked.select("target", "town", "flat_type", "t_a", "t_s", "t_l", "t_area", "t_storey", "t_lease", "t_model", *(["t_x", "t_y"] if origin else []))
+    # differences first, then their scale: equal differences have equal distances, to the last bit
+    parts = [(F.col("t_area") - F.col("area")) / c.area, (F.col("t_storey") - F.col("storey_mid")) / c.storey, (F.col("t_lease") - F.col("lease_year")) / c.lease, F.months_between(last, F.col("month")) / c.recency]
     d = F.sqrt(sum((p * p for p in parts[1:]), parts[0] * parts[0])) + F.when(F.col("t_model") != F.col("flat_model"), F.lit(0.25)).otherwise(F.lit(0.0))
     if origin:
         apart = F.coalesce(F.sqrt((F.col("t_x") - F.col("x_m")) ** 2 + (F.col("t_y") - F.col("y_m")) ** 2), F.lit(0.0))
