@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from marketloom.config import Loan
 from marketloom.functions import numbers
+from marketloom.sources.scratch import stored
+
+#: So many rows of households and towns at most are ranked in one task, but for those of one household.
+MOST_ROWS = 2_000_000
 
 
 def assess(df: DataFrame, price: Column, income: Column, savings: Column, loan: Loan = Loan()) -> DataFrame:
@@ -38,10 +44,13 @@ def rank_towns(prices: DataFrame, households: DataFrame, loan: Loan = Loan(), le
 
     prices: one row per town; their number is that of towns, which is checked before they are sent to every task.
     """
-    towns = prices.where(F.col("transactions") >= least)
-    if towns.limit(10_001).count() > 10_000:
+    towns = stored(prices.where(F.col("transactions") >= least))
+    n = towns.limit(10_001).count()
+    if n > 10_000:
         raise ValueError("rank_towns takes one row per town")
-    each = assess(households.join(F.broadcast(towns)), F.col("median_price"), F.col("income"), F.col("savings"), loan)
+    # a household is few bytes, but meets every town: they are dealt by their number, as the ranking needs them
+    parts = max(households.sparkSession.sparkContext.defaultParallelism, math.ceil(households.count() * n / MOST_ROWS))
+    each = assess(households.repartition(parts, "household").join(F.broadcast(towns)), F.col("median_price"), F.col("income"), F.col("savings"), loan)
     within = (F.col("monthly_repayment") <= F.col("income") * loan.repayment_limit) & (F.col("upfront_shortfall") == 0)
     order = Window.partitionBy("household").orderBy("repayment_ratio", "town")
     return each.withColumns({"within_reach": within, "rank": F.row_number().over(order)})
